@@ -5,7 +5,7 @@ For series too long for a row, :mod:`signalframe.operators.intervals` computes t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalframe.functions.arrays import absolute, diff, let, lets, mean, std, total
 
@@ -97,46 +97,63 @@ def turning_points(rr: Column) -> Column:
     return let(rr, run)
 
 
-def interval_features(rr: Column) -> Column:
-    """Unrounded struct of the variability measures; zeros where the service reports zeros."""
+def basic_moments(rr: Column) -> Column:
+    """Struct: count, mean, deviation, mean square and deviation of the differences, share above 50 ms."""
 
     def run(r: Column) -> Column:
-        return lets(
-            [F.coalesce(mean(r), F.lit(0.0)), F.coalesce(std(r), F.lit(0.0)), diff(r)],
-            lambda m, sd, d: lets(
-                [
-                    F.coalesce(F.try_divide(sd, m), F.lit(0.0)),
-                    F.when(F.size(r) > 1, F.sqrt(mean(F.transform(d, lambda v: v * v)))).otherwise(0.0),
-                    F.when(
-                        F.size(r) > 1, F.size(F.filter(absolute(d), lambda v: v > 50.0)) / F.nullif(F.size(d), F.lit(0)) * 100.0
-                    ).otherwise(0.0),
-                    F.coalesce(std(d), F.lit(0.0)),
-                    entropy_density(r),
-                    entropy_shannon(r),
-                    turning_points(r),
-                ],
-                lambda cv, rmssd, pnn50, sdd, sampen, shannon, tpr: F.struct(
-                    (F.size(r)).alias("rr_count"),
-                    m.alias("rr_mean_ms"),
-                    sd.alias("rr_sd_ms"),
-                    cv.alias("rr_cv"),
-                    rmssd.alias("rmssd_ms"),
-                    pnn50.alias("pnn50_percent"),
-                    sampen.alias("sample_entropy"),
-                    shannon.alias("shannon_entropy"),
-                    F.when(F.size(r) < 2, 0.0).otherwise(F.sqrt(F.lit(0.5)) * sdd).alias("poincare_sd1_ms"),
-                    F.when(F.size(r) < 2, 0.0)
-                    .otherwise(F.sqrt(F.greatest(F.lit(0.0), 2.0 * sd * sd - 0.5 * sdd * sdd)))
-                    .alias("poincare_sd2_ms"),
-                    tpr.alias("turning_point_ratio"),
-                    irregularity(cv, rmssd, pnn50, sampen, shannon, tpr).alias("rr_irregularity_index"),
-                ),
+        return let(
+            diff(r),
+            lambda d: F.struct(
+                F.size(r).alias("rr_count"),
+                F.coalesce(mean(r), F.lit(0.0)).alias("rr_mean_ms"),
+                F.coalesce(std(r), F.lit(0.0)).alias("rr_sd_ms"),
+                F.coalesce(F.sqrt(mean(F.transform(d, lambda v: v * v))), F.lit(0.0)).alias("rmssd_ms"),
+                F.coalesce(std(d), F.lit(0.0)).alias("drr_sd_ms"),
+                F.when(
+                    F.size(d) > 0,
+                    F.size(F.filter(absolute(d), lambda v: v > 50.0)) / F.nullif(F.size(d), F.lit(0)) * 100.0,
+                ).otherwise(0.0).alias("pnn50_percent"),
             ),
         )
 
     return let(rr, run)
 
 
+def add_interval_features(df: DataFrame, rr: str, alias: str) -> DataFrame:
+    """Add a struct of unrounded variability measures; zeros where the service reports zeros."""
+    staged = df.withColumns({
+        "_m": basic_moments(F.col(rr)),
+        "_density": entropy_density(F.col(rr)),
+        "_shannon": entropy_shannon(F.col(rr)),
+        "_turns": turning_points(F.col(rr)),
+    })
+    m = F.col("_m")
+    sd, sdd = m["rr_sd_ms"], m["drr_sd_ms"]
+    few = m["rr_count"] < 2
+    cv = F.coalesce(F.try_divide(sd, m["rr_mean_ms"]), F.lit(0.0))
+    parts = {
+        "rr_count": m["rr_count"],
+        "rr_mean_ms": m["rr_mean_ms"],
+        "rr_sd_ms": sd,
+        "rr_cv": cv,
+        "rmssd_ms": m["rmssd_ms"],
+        "pnn50_percent": m["pnn50_percent"],
+        "sample_entropy": F.col("_density"),
+        "shannon_entropy": F.col("_shannon"),
+        "poincare_sd1_ms": F.when(few, 0.0).otherwise(F.sqrt(F.lit(0.5)) * sdd),
+        "poincare_sd2_ms": F.when(few, 0.0).otherwise(
+            F.sqrt(F.greatest(F.lit(0.0), 2.0 * sd * sd - 0.5 * sdd * sdd))
+        ),
+        "turning_point_ratio": F.col("_turns"),
+        "rr_irregularity_index": irregularity(
+            cv, m["rmssd_ms"], m["pnn50_percent"], F.col("_density"), F.col("_shannon"), F.col("_turns")
+        ),
+    }
+    return staged.withColumn(alias, F.struct(*[c.alias(n) for n, c in parts.items()])).drop(
+        "_m", "_density", "_shannon", "_turns"
+    )
+
+
 def irregularity(cv: Column, rmssd: Column, pnn50: Column, sampen: Column, shannon: Column, tpr: Column) -> Column:
     """The index of the online score, from unrounded inputs."""
     return F.least(
