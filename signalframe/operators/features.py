@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -139,12 +140,11 @@ def serving_defaults(metadata: dict[str, float] | None, medians: dict[str, float
     return found
 
 
-def model_input(df: DataFrame, defaults: dict[str, float], *keep: str) -> DataFrame:
-    """Canonical inputs with defaults, then zero; ``imputed`` lists each replaced input and its source."""
-    raw = canonical_features(df, *keep)
+def imputation_sources(defaults: dict[str, float], value: Callable[[str], Column] = F.col) -> Column:
+    """``ARRAY<STRUCT<feature, source>>`` of the inputs that have no value."""
     notes = F.array(*[
         F.when(
-            F.col(f).isNull(),
+            value(f).isNull(),
             F.struct(
                 F.lit(f).alias("feature"),
                 F.lit("training fallback" if f in defaults else "last-resort zero fallback").alias("source"),
@@ -152,10 +152,16 @@ def model_input(df: DataFrame, defaults: dict[str, float], *keep: str) -> DataFr
         )
         for f in FEATURES
     ])
+    return F.filter(notes, lambda n: n.isNotNull())
+
+
+def model_input(df: DataFrame, defaults: dict[str, float], *keep: str) -> DataFrame:
+    """Canonical inputs with defaults, then zero; ``imputed`` lists each replaced input and its source."""
+    raw = canonical_features(df, *keep)
     return raw.select(
         *keep,
         *[F.coalesce(F.col(f), F.lit(float(defaults.get(f, 0.0)))).alias(f) for f in FEATURES],
-        F.filter(notes, lambda n: n.isNotNull()).alias("imputed"),
+        imputation_sources(defaults).alias("imputed"),
     )
 
 
@@ -164,10 +170,10 @@ def completeness(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [F.when(clean(F.col(f)).isNull(), 1).otherwise(0) for f in FEATURES])
 
 
-def reported_features() -> Column:
+def reported_features(value: Callable[[str], Column] = F.col) -> Column:
     """The five reported inputs as (feature, value)."""
     return F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES if f in REPORTED_FEATURES
+        F.struct(F.lit(f).alias("feature"), value(f).alias("value")) for f in FEATURES if f in REPORTED_FEATURES
     ])
 
 

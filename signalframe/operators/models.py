@@ -102,8 +102,7 @@ def fit_models(train: DataFrame, label: str, columns: list[str] = FEATURES, tree
     logistic = _logistic(n).fit(ready)
     trees_model = GBTClassifier(
         featuresCol="tree_vector", labelCol="label__", maxDepth=DEPTH, maxIter=trees, stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE, seed=seed, probabilityCol="boosting_vector", rawPredictionCol="boosting_raw",
-        predictionCol="boosting_class",
+        subsamplingRate=ROW_SHARE, seed=seed, predictionCol="boosting_class",
     ).fit(ready)
     return PipelineModel([prepare, scaled, plain, logistic, trees_model]), preparation
 
@@ -111,9 +110,9 @@ def fit_models(train: DataFrame, label: str, columns: list[str] = FEATURES, tree
 def score(df: DataFrame, model: PipelineModel, *keep: str) -> DataFrame:
     """Probabilities of both models; the boosted one decides when it is there."""
     scored = model.transform(df)
-    has_trees = "boosting_vector" in scored.columns
+    has_trees = "boosting_class" in scored.columns
     logistic = vector_to_array("logistic_vector")[1]
-    boosting = vector_to_array("boosting_vector")[1] if has_trees else F.lit(None).cast("double")
+    boosting = vector_to_array("probability")[1] if has_trees else F.lit(None).cast("double")
     return scored.select(
         *(keep or df.columns),
         logistic.alias("logistic_probability"),
