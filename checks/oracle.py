@@ -278,9 +278,8 @@ walk AS (
   SELECT k, -25 AS last FROM par
   UNION ALL
   SELECT walk.k, arg_min(local.pos, local.idx) FROM walk JOIN local ON local.k = walk.k AND local.idx - walk.last >= 25 GROUP BY walk.k
-), peaks AS MATERIALIZED (
-  SELECT k, r, row_number() OVER (PARTITION BY k ORDER BY r) - 1 AS beat_no FROM (SELECT DISTINCT k, last AS r FROM walk WHERE last >= 0)
-)
+), picked AS MATERIALIZED (SELECT k, last AS r FROM walk WHERE last >= 0 GROUP BY 1, 2),
+peaks AS MATERIALIZED (SELECT a.k, a.r, count(b.r) AS beat_no FROM picked a LEFT JOIN picked b ON b.k = a.k AND b.r < a.r GROUP BY 1, 2)
 """
 ID = "CAST(k AS VARCHAR) AS record_id"
 ORACLE["P1_working_lead"] = WORK + f"SELECT {ID}, any_value(lead) AS selected_lead FROM work GROUP BY k"
@@ -457,9 +456,9 @@ ORACLE["A20_t_findings"] = ALL12 + f""", tb AS (
   SELECT al.k, lead, beat_no, max(c) AS hi, min(c) AS lo FROM peaks JOIN al ON al.k = peaks.k AND idx >= r + 14 AND idx < r + 42
   WHERE beat_no < 10 AND least(1000, r + 42) > least(1000, r + 14) + 5 GROUP BY 1, 2, 3
 ), ta AS (SELECT *, CASE WHEN abs(hi) >= abs(lo) THEN hi ELSE lo END AS amp FROM tb),
-tg AS (SELECT k, lead, avg(amp) AS m, count(*) FILTER (amp < 0) / count(*) AS neg, count(*) FILTER (hi > 0.12 AND lo < -0.12) AS both, count(*) AS n FROM ta GROUP BY 1, 2)
+tg AS (SELECT k, lead, avg(amp) AS m, count(*) FILTER (amp < 0) / count(*) AS neg, count(*) FILTER (hi > 0.12 AND lo < -0.12) AS two, count(*) AS n FROM ta GROUP BY 1, 2)
 SELECT {ID}, lead, round_even(m, 3) AS t_amplitude_mv, CASE WHEN neg > 0.6 THEN 'T-wave inversion'
-  WHEN abs(m) >= CASE WHEN lead LIKE 'V%' THEN 1.0 ELSE 0.5 END THEN 'tall T waves' WHEN both >= greatest(2, n // 2) THEN 'biphasic T waves'
+  WHEN abs(m) >= CASE WHEN lead LIKE 'V%' THEN 1.0 ELSE 0.5 END THEN 'tall T waves' WHEN two >= greatest(2, n // 2) THEN 'biphasic T waves'
   ELSE 'normal/undetermined' END AS status FROM tg"""
 ORACLE["A21_ptfv1"] = PEAKS + centred("v1", "V1") + f""", fb AS (
   SELECT v1.k, beat_no, min(c) * count(*) / 100.0 * 1000.0 AS f FROM peaks JOIN v1 ON v1.k = peaks.k AND idx >= greatest(0, r - 25) AND idx < greatest(0, r - 12)
@@ -469,7 +468,7 @@ ORACLE["A26_pathologic_q"] = ALL12 + f""", qb AS (
   SELECT al.k, lead, beat_no, abs(min(c) FILTER (idx >= r - 5 AND idx < r - 1)) AS depth, abs(max(c) FILTER (idx >= r AND idx < r + 4)) AS height
   FROM peaks JOIN al ON al.k = peaks.k AND idx >= r - 5 AND idx < r + 4 WHERE beat_no < 10 AND greatest(0, r - 1) > greatest(0, r - 5) GROUP BY 1, 2, 3
 ), qg AS (SELECT k, lead, avg(depth) AS d, avg(height) AS h FROM qb GROUP BY 1, 2)
-SELECT {ID}, lead, {r6('d AS q_depth_mv', 'h AS r_height_mv')}, coalesce(d >= greatest(0.10, h * 0.25), false) AS pathologic FROM qg WHERE d IS NOT NULL"""
+SELECT {ID}, lead, {r6('d AS q_depth_mv', 'h AS r_height_mv', digits=12)}, coalesce(d >= greatest(0.10, h * 0.25), false) AS pathologic FROM qg WHERE d IS NOT NULL"""
 SQI = PEAKS + f""", al AS MATERIALIZED ({leads(*STANDARD_LEADS)}), {QUALITY.format(p='a_', src='al')},
 us AS (SELECT k, count(*) FILTER (quality >= 35) AS usable, count(*) AS held FROM a_qual GROUP BY 1),
 fl AS (SELECT k, idx, mv, coalesce(mv, m) AS v FROM work JOIN wmed USING (k)),

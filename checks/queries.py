@@ -425,7 +425,7 @@ def ptfv1(spark, sf):
 
 @query("A26_pathologic_q")
 def pathologic_q(spark, sf):
-    return rounded(M.q_waves(bridges.detected(spark, sf)))
+    return rounded(M.q_waves(bridges.detected(spark, sf)), 12)
 
 
 @query("A2_signal_quality")
