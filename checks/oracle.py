@@ -78,10 +78,10 @@ SELECT record_id, n AS rr_count, {r6('mean_rr AS rr_mean_ms', 'cv AS rr_cv', 'sd
 ORACLE["A5_rr_entropy_density"] = RR + f"SELECT record_id, n AS rr_count, {r6('sampen AS sample_entropy')} FROM f"
 ORACLE["A6_rr_entropy_shannon"] = RR + f"SELECT record_id, n AS rr_count, {r6('shannon AS shannon_entropy')} FROM f"
 ORACLE["A7_rr_histogram"] = RR + f"""
-SELECT record_id, CAST(least(floor((rr_ms - lo) / (hi - lo) * 10), 9) AS INT) AS slot, count(*) AS n, {r6('any_value(hi - lo) AS width')}
+SELECT record_id, CAST(least(floor((rr_ms - lo) / (hi - lo) * 10), 9) AS INT) AS slot, count(*) AS n, {r6('any_value(hi - lo) AS width', digits=8)}
 FROM r JOIN m USING (record_id) GROUP BY 1, 2"""
 ORACLE["A8_rr_poincare"] = RR + f"SELECT record_id, {r6('sd1 AS poincare_sd1_ms', 'sd2 AS poincare_sd2_ms')} FROM v"
-ORACLE["W1_rr_differences"] = RR + f"SELECT record_id, event_id, {r6('rr_ms', 'drr_ms')} FROM r"
+ORACLE["W1_rr_differences"] = RR + f"SELECT record_id, event_id, {r6('rr_ms', 'drr_ms', digits=8)} FROM r"
 ORACLE["W2_rr_turning_points"] = RR + f"SELECT record_id, {r6('tpr AS turning_point_ratio')} FROM v"
 ORACLE["W6_rr_irregularity_index"] = RR + f"""
 SELECT record_id, {r6('least(100, cv*155 + rmssd/3.2 + pnn50*0.55 + sampen*13 + shannon*5 + tpr*18) AS rr_irregularity_index', digits=5)} FROM f"""

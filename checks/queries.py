@@ -78,7 +78,7 @@ def rr_histogram(spark, sf):
         F.count("rr_ms").alias("n"), F.min("rr_ms").alias("low"), F.max("rr_ms").alias("high")
     ).withColumns({"bins": F.lit(10), "spread": F.lit(1.0)})
     counts = intervals._histogram(series, F.col("rr_ms"), spec)
-    return rounded(counts.select("record_id", "slot", F.col("h").cast("long").alias("n"), "width"))
+    return rounded(counts.select("record_id", "slot", F.col("h").cast("long").alias("n"), "width"), 8)
 
 
 @query("A8_rr_poincare")
@@ -90,7 +90,7 @@ def rr_poincare(spark, sf):
 
 @query("W1_rr_differences")
 def rr_differences(spark, sf):
-    return rounded(bridges.rr_events(spark, sf).rows.select("record_id", "event_id", "rr_ms", "drr_ms"))
+    return rounded(bridges.rr_events(spark, sf).rows.select("record_id", "event_id", "rr_ms", "drr_ms"), 8)
 
 
 @query("W2_rr_turning_points")
@@ -1007,8 +1007,16 @@ def first_pair(spark, sf):
 # --- models (no SQL counterpart) ---------------------------------------------------------------
 
 
+_TRAINED: dict[tuple[str, str], models.Trained] = {}
+
+
 def _trained(spark, sf) -> models.Trained:
-    return models.train(bridges.feature_rows(spark, sf).drop("k"), "ecg_id", "current_atrial_abnormality", trees=TREES)
+    """One training per session and input, shared by the queries that only read its result."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        rows = bridges.feature_rows(spark, sf).drop("k")
+        _TRAINED[key] = models.train(rows, "ecg_id", "current_atrial_abnormality", trees=TREES)
+    return _TRAINED[key]
 
 
 @query("M4_logistic_coefficients")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signalframe.operators import evaluation, features as feature_ops
 from signalframe.operators.selection import exact_quantiles, stratified_split
 from signalframe.schemas import FEATURES
+from signalframe.session import materialise
 
 # Training settings and artefact texts.
 MAX_ITER = 2000
@@ -174,9 +175,9 @@ def train(
 ) -> Trained:
     """Split, fit, evaluate both models on the held-out rows."""
     rows = table.filter(F.col(label).isNotNull())
-    split = stratified_split(rows, key, label, test_share, seed)
+    split = materialise(stratified_split(rows.select(key, *FEATURES, label), key, label, test_share, seed))
     model, preparation = fit_models(split.filter(~F.col("is_test")), label, trees=trees, seed=seed)
-    held_out = score(split.filter("is_test"), model, key, label)
+    held_out = materialise(score(split.filter("is_test"), model, key, label))
     both = {
         "logistic": as_predictions(held_out, label, "logistic_probability"),
         "gradient_boosting": as_predictions(held_out, label, "boosting_probability"),
@@ -191,7 +192,7 @@ def train(
     found = {r["dataset"]: r.asDict() for r in metrics.collect()}
     metadata = {
         "dataset": dataset,
-        "records_used": rows.count(),
+        "records_used": split.count(),
         "model_target": MODEL_TARGET,
         "target_column": label,
         "warning": MODEL_WARNING,
@@ -355,7 +356,7 @@ ABLATION_GROUPS = {
 
 def ablation(table: DataFrame, key: str, label: str, groups: dict[str, list[str]] = ABLATION_GROUPS, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Held-out metrics of the logistic model on each group of inputs. One distributed fit per group."""
-    split = stratified_split(table, key, label, test_share, seed)
+    split = materialise(stratified_split(table.select(key, *FEATURES, label), key, label, test_share, seed))
     fit_rows, held_out = split.filter(~F.col("is_test")), split.filter("is_test")
     result = None
     for name, columns in groups.items():

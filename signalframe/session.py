@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,11 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and read it back (survives lost executors)."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared folder and read it back.
+
+    For frames that several passes read: the later passes scan columns instead of repeating the
+    work, and a lost executor costs nothing.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def default_partitions(df: DataFrame, factor: int = 3) -> int:
