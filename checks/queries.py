@@ -489,7 +489,7 @@ def territories(spark, sf):
 @query("J6_territory_join")
 def territory_join(spark, sf):
     levels = bridges.level_rows(spark, sf).select(
-        F.col("k").cast("string").alias("record_id"), "age", "sex", F.explode("st").alias("lead", "st_level_mv")
+        F.col("k").cast("string").alias("record_id"), "age", "sex", F.explode_outer("st").alias("lead", "st_level_mv")
     )
     high = F.col("st_level_mv") >= rules.st_threshold(F.col("lead"), F.col("age"), F.col("sex"))
     return dimensions.territory_findings(levels, rules.STEMI_TERRITORIES, high)

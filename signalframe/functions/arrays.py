@@ -46,20 +46,36 @@ def mean(x: Column) -> Column:
     return let(present(x), lambda p: F.when(F.size(p) > 0, total(p) / F.size(p)))
 
 
-def std(x: Column) -> Column:
-    """Population standard deviation of the non-missing values, NULL for none."""
+def mean_of_dense(p: Column) -> Column:
+    return F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v) / F.nullif(F.size(p), F.lit(0))
+
+
+def dense_std(p: Column) -> Column:
+    """Population standard deviation of an array without missing values, NULL for none."""
     return let(
-        present(x),
-        lambda p: let(
-            mean(p),
-            lambda m: F.when(
-                F.size(p) > 0,
-                F.sqrt(F.aggregate(p, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / F.size(p)),
+        p,
+        lambda a: let(
+            mean_of_dense(a),
+            lambda m: F.sqrt(
+                F.aggregate(a, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / F.nullif(F.size(a), F.lit(0))
             ),
         ),
     )
 
 
+def std(x: Column) -> Column:
+    """Population standard deviation of the non-missing values, NULL for none."""
+    return dense_std(present(x))
+
+
+def sorted_present(x: Column) -> Column:
+    """The non-missing values ascending. Missing ones sort first, so one look tells if there are any."""
+    return let(
+        F.sort_array(x),
+        lambda s: F.when(F.get(s, F.lit(0)).isNull(), present(s)).otherwise(s),
+    )
+
+
 def quantile_of_sorted(s: Column, q: float) -> Column:
     """Linear interpolation at position (n-1)q of an ascending array without NULLs."""
     return lets(
@@ -72,7 +88,7 @@ def quantile_of_sorted(s: Column, q: float) -> Column:
 
 
 def quantile(x: Column, q: float) -> Column:
-    return let(F.sort_array(present(x)), lambda s: quantile_of_sorted(s, q))
+    return let(sorted_present(x), lambda s: quantile_of_sorted(s, q))
 
 
 def median(x: Column) -> Column:
@@ -167,7 +183,9 @@ def cut(x: Column, start: Column, end: Column) -> Column:
 
 def indices(a: Column, test: Callable[[Column], Column]) -> Column:
     """0-based indices whose value passes ``test``."""
-    return F.filter(
-        F.transform(a, lambda v, i: F.when(test(v), i)),
-        lambda i: i.isNotNull(),
+    return let(
+        a,
+        lambda v: F.when(
+            F.size(v) > 0, F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: test(F.get(v, i)))
+        ).otherwise(F.expr("cast(array() as array<int>)")),
     )

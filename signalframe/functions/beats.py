@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from signalframe.functions.arrays import (
-    absolute, argmax_first, centre, clamp, cut, diff, indices, let, lets, mean, median, moving_average,
-    offset, present, std,
+    absolute, argmax_first, centre, clamp, cut, dense_std, diff, indices, let, lets, mean, mean_of_dense, median,
+    moving_average, offset, present, std,
 )
 
 MIN_WINDOW = 3  # samples; a shorter window is not measured
@@ -61,7 +61,10 @@ def detect_peaks(c: Column, fs: Column) -> Column:
         energy = qrs_energy(a, rate)
         candidates = let(
             energy,
-            lambda e: let(mean(e) + 1.6 * std(e), lambda limit: indices(e, lambda v: v > limit)),
+            lambda e: let(
+                let(present(e), lambda p: mean_of_dense(p) + 1.6 * dense_std(p)),
+                lambda limit: indices(e, lambda v: v > limit),
+            ),
         )
         return F.coalesce(refractory_walk(a, candidates, rate), F.expr("cast(array() as array<int>)"))
 

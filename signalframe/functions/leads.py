@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from signalframe.functions.arrays import (
-    absolute, cut, let, lets, mean, median, offset, present, quantile_of_sorted, total,
+    cut, let, lets, mean, median, offset, quantile_of_sorted, sorted_present, total,
 )
 from signalframe.functions.beats import after, before, per_beat
 
@@ -109,18 +109,18 @@ def swing(c: Column, low: float = 0.02, high: float = 0.98) -> Column:
     """Distance between two percentiles, NULL for a missing lead."""
     return F.when(
         c.isNotNull(),
-        let(F.sort_array(present(c)), lambda s: quantile_of_sorted(s, high) - quantile_of_sorted(s, low)),
+        let(sorted_present(c), lambda s: quantile_of_sorted(s, high) - quantile_of_sorted(s, low)),
     )
 
 
 def low_percentile(c: Column, q: float = 0.02) -> Column:
-    return F.when(c.isNotNull(), let(F.sort_array(present(c)), lambda s: quantile_of_sorted(s, q)))
+    return F.when(c.isNotNull(), let(sorted_present(c), lambda s: quantile_of_sorted(s, q)))
 
 
 def percentile_sum_raw(x: Column, low: float = 0.05, high: float = 0.95) -> Column:
     return F.when(
         x.isNotNull(),
-        let(F.sort_array(present(x)), lambda s: quantile_of_sorted(s, high) + quantile_of_sorted(s, low)),
+        let(sorted_present(x), lambda s: quantile_of_sorted(s, high) + quantile_of_sorted(s, low)),
     )
 
 
@@ -128,7 +128,7 @@ def atrial_amplitude(c: Column) -> Column:
     """92nd percentile less the median."""
     return F.when(
         c.isNotNull(),
-        let(F.sort_array(present(c)), lambda s: quantile_of_sorted(s, 0.92) - quantile_of_sorted(s, 0.5)),
+        let(sorted_present(c), lambda s: quantile_of_sorted(s, 0.92) - quantile_of_sorted(s, 0.5)),
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from signalframe.functions.arrays import (
-    clamp, centre, diff, fill, let, lets, mean, median, moving_average, offset, present, quantile_of_sorted, std,
+    centre, clamp, diff, fill, let, lets, median, moving_average, present, quantile_of_sorted,
+    sorted_present, std,
 )
 
 USABLE = 35.0  # a lead of at least this quality counts as usable
@@ -16,11 +17,20 @@ def finite_ratio(x: Column) -> Column:
 
 
 def _noise(x: Column) -> Column:
-    return F.when(F.size(x) > 2, std(diff(x))).otherwise(0.0)
+    """Deviation of the slope of a lead without missing samples; the mean slope is end less start."""
+
+    def spread(a: Column, count: Column) -> Column:
+        return let(
+            (F.get(a, count) - F.get(a, F.lit(0))) / count,
+            lambda m: F.sqrt(F.aggregate(diff(a), F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / count),
+        )
+
+    return F.when(F.size(x) > 2, let(x, lambda a: let(F.size(a) - 1, lambda count: spread(a, count)))).otherwise(0.0)
 
 
-def _amplitude(x: Column) -> Column:
-    return let(F.sort_array(present(x)), lambda s: quantile_of_sorted(s, 0.95) - quantile_of_sorted(s, 0.05))
+def _amplitude(s: Column) -> Column:
+    """95th less 5th percentile of ascending samples."""
+    return quantile_of_sorted(s, 0.95) - quantile_of_sorted(s, 0.05)
 
 
 def _or_one(value: Column) -> Column:
@@ -30,12 +40,14 @@ def _or_one(value: Column) -> Column:
 def lead_quality(x: Column) -> Column:
     """0 to 100: finite share, less noise, less 60 for a flat line; 0 when nothing is finite."""
 
-    def run(raw: Column) -> Column:
-        return lets(
-            [finite_ratio(raw), fill(raw, median(raw))],
-            lambda share, a: lets(
-                [_amplitude(a), _noise(a)],
-                lambda amp, noise: F.when(share == 0.0, 0.0).otherwise(
+    def run(raw: Column, s: Column) -> Column:
+        share = F.size(s) / F.nullif(F.size(raw), F.lit(0))
+        whole = F.size(s) == F.size(raw)
+        return let(
+            F.when(whole, raw).otherwise(fill(raw, quantile_of_sorted(s, 0.5))),
+            lambda a: lets(
+                [let(F.when(whole, s).otherwise(F.sort_array(a)), _amplitude), _noise(a)],
+                lambda amp, noise: F.when(F.size(s) == 0, 0.0).otherwise(
                     clamp(
                         share * 100.0
                         - F.least(F.lit(100.0), noise / _or_one(amp) * 100.0) * 1.4
@@ -47,7 +59,7 @@ def lead_quality(x: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(x) > 0, let(x, run)).otherwise(0.0)
+    return F.when(F.size(x) > 0, let(x, lambda raw: let(sorted_present(raw), lambda s: run(raw, s)))).otherwise(0.0)
 
 
 def signal_quality(x: Column, fs: Column, beats: Column, usable: Column, leads: Column) -> Column:
@@ -63,7 +75,7 @@ def signal_quality(x: Column, fs: Column, beats: Column, usable: Column, leads:
             [finite_ratio(raw), centre(filled)],
             lambda share, a: lets(
                 [
-                    _or_one(_amplitude(a)),
+                    _or_one(let(F.sort_array(a), _amplitude)),
                     _noise(a),
                     std(moving_average(a, F.greatest(rate, F.lit(1.0)).cast("int"))),
                     F.coalesce(F.try_divide(beats.cast("double"), F.try_divide(F.size(a), rate)) * 60.0, F.lit(0.0)),

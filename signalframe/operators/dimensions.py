@@ -65,17 +65,25 @@ def territory_findings(
     A record has a dozen leads and a handful of territories, so its groups are small by nature.
     """
     dimension = territories(lead_findings.sparkSession, groups)
-    return (
+    # The passing leads travel as bits, so that the aggregate stays a plain hash aggregate.
+    found = (
         lead_findings.filter(passes)
         .join(F.broadcast(dimension), "lead")
         .groupBy("record_id", "territory")
         .agg(
             F.count(F.lit(1)).cast("int").alias("lead_count"),
-            F.sort_array(F.collect_list(F.struct("position", "lead"))).alias("l"),
+            F.sum(F.pow(F.lit(2.0), F.col("position")).cast("bigint")).alias("bits"),
         )
         .filter(F.col("lead_count") >= least)
-        .select("record_id", "territory", "lead_count", F.array_join(F.col("l.lead"), ", ").alias("leads"))
     )
+    members = F.create_map(*[
+        part for t, leads in groups.items() for part in (F.lit(t), F.array(*[F.lit(l) for l in leads]))
+    ])
+    passed = F.filter(
+        F.transform(members[F.col("territory")], lambda l, i: F.when(F.getbit(F.col("bits"), i) == 1, l)),
+        lambda l: l.isNotNull(),
+    )
+    return found.select("record_id", "territory", "lead_count", F.array_join(passed, ", ").alias("leads"))
 
 
 STEMI_TERRITORIES = rules.STEMI_TERRITORIES
