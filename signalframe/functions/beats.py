@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from signalframe.functions.arrays import (
-    absolute, argmax_first, centre, clamp, cut, dense_std, diff, indices, let, lets, mean, mean_of_dense, median,
+    absolute, argmax_first, clamp, cut, dense_std, diff, indices, let, lets, mean, mean_of_dense, median,
     moving_average, offset, present, std,
 )
 
@@ -322,7 +322,3 @@ def correlation(x: Column, y: Column) -> Column:
             ),
         ),
     )
-
-
-def centred_and_peaks(x: Column, fs: Column) -> tuple[Column, Column]:
-    return centre(x), detect_peaks(centre(x), fs)

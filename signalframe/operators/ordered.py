@@ -101,25 +101,3 @@ def with_previous(
 
     rows = joined.select(*df.columns, "part", *[previous(d) for d in range(1, depth + 1)])
     return Series(rows, [key], [key, "part"])
-
-
-def prefix_by_part(
-    cells: DataFrame, keys: list[str], part: str, order: str, value: str, alias: str
-) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of a group, when ``part`` grows with ``order``.
-
-    Each part is summed in its own task; the totals of the parts are few and carry the rest.
-    """
-    inside = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        cells.groupBy(*keys, part)
-        .agg(F.sum(value).alias("_t"))
-        .select(*keys, part, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        cells.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(totals, [*keys, part])
-        .withColumn(alias, F.col("_before") + F.col("_inside"))
-        .drop("_before", "_inside")
-    )
