@@ -828,13 +828,8 @@ def batch_morphology(spark, sf):
 
 @query("J3_positional_intervals")
 def positional_intervals(spark, sf):
-    waves = features.delineation_arrays(bridges.delineation(spark, sf))
-    return rounded(
-        waves.select(
-            "record_id", features.interval_ms(F.col("waves"), "p_on", "q_on", F.lit(100.0)).alias("pr_ms"),
-            features.interval_ms(F.col("waves"), "q_on", "t_off", F.lit(100.0)).alias("qt_ms"),
-        )
-    )
+    wanted = {"pr_ms": ("p_on", "q_on"), "qt_ms": ("q_on", "t_off")}
+    return rounded(features.interval_means(bridges.delineation(spark, sf), wanted, 100.0))
 
 
 def _metadata(spark, sf) -> DataFrame:

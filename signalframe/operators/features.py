@@ -15,8 +15,18 @@ from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, REPORTED_FEATURES
 MIN_BEATS = 3
 
 
+def interval_means(delineation: DataFrame, intervals: dict[str, tuple[str, str]], fs: float) -> DataFrame:
+    """Mean of end less start per record, over the beats that have both; combined before the shuffle."""
+    return delineation.groupBy("record_id").agg(*[
+        F.avg(milliseconds(F.col(end) - F.col(start), F.lit(fs))).alias(name) for name, (start, end) in intervals.items()
+    ])
+
+
 def delineation_arrays(delineation: DataFrame) -> DataFrame:
-    """One row per record with its waves in beat order. Beats per record are bounded by its length."""
+    """One row per record with its waves in beat order, to stand beside the record's samples.
+
+    A record that fits a row has fewer beats than samples, so its waves fit too.
+    """
     waves = ["beat_no", "r_idx", "p_on", "p_off", "p_peak", "q_on", "s_off", "t_off"]
     return delineation.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct(*waves))).alias("waves"))
 
