@@ -62,6 +62,7 @@ def rows(
     yields results; with `each_task` it is called without arguments at the start of a task and returns
     such a function, which may keep what it counts in that task.
     """
+    names = df.columns
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
@@ -69,9 +70,10 @@ def rows(
         call = function() if each_task else function
         for batch in batches:
             for part in _slices(batch, limit):
-                for out in call(part.to_pydict()):
+                for out in call(dict(zip(names, part.to_pydict().values()))):
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(
                         [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
                     )
 
-    return df.mapInArrow(run, kind)
+    # plain names, as a name with a dot cannot be handed over
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, kind)

@@ -78,12 +78,12 @@ def shuffle(rows: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCK
     Counts of shards differ by one at most, and every arrangement is equally likely. The rows are stored
     once with their partition and their place in it, so that a repeated task deals them out as before; rows
     that are equal in all columns are still different rows, nulls are values like any other, and an empty
-    table gives no rows. Input columns `shard` and `slot` are replaced, those beginning with `_shuffle` must not exist.
+    table gives no rows. Input columns `shard` and `slot` are replaced.
     """
     spark = rows.sparkSession
     names = [c for c in rows.columns if c not in ("shard", "slot")]
-    kept = [column(c) for c in names]
-    stored = materialise(rows.select(*kept, F.monotonically_increasing_id().alias("_shuffle_row")))
+    kept = [f"_shuffle_c{i}" for i in range(len(names))]
+    stored = materialise(rows.select(*[column(c).alias(k) for c, k in zip(names, kept)], F.monotonically_increasing_id().alias("_shuffle_row")))
     part = F.shiftright("_shuffle_row", 33)  # the id's upper bits are the partition, the lower ones the place
     sizes = stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # a row per partition
     counts = np.array([r["n"] for r in sizes], dtype=np.int64)
@@ -115,4 +115,4 @@ def shuffle(rows: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCK
     again = Window.partitionBy("_shuffle_bucket").orderBy(F.xxhash64(F.lit(seed), F.col("_shuffle_row")), "_shuffle_row")
     dealt = stored.mapInArrow(deal, kind).withColumn("_shuffle_rank", F.row_number().over(again) - 1)
     placed = dealt.join(spark.createDataFrame(starts), "_shuffle_bucket")
-    return placed.select(*kept, "shard", (F.col("_shuffle_base") + F.col("_shuffle_rank")).alias("slot"))
+    return placed.select(*[F.col(k).alias(c) for c, k in zip(names, kept)], "shard", (F.col("_shuffle_base") + F.col("_shuffle_rank")).alias("slot"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,16 +22,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from signalframe.llm.common import column, rows, words
 
 SAMPLE = 12_000  # labelled documents that are read for fitting, at most; the same number at every size
-ENTRIES = 160  # of the mined lexicon, at most
-PREFIXES = (4, 5, 6)  # bytes
+ENTRIES = 200  # of the mined lexicon, at most
+PREFIXES = (3, 4, 5, 6, 7, 8)  # characters
 SUPPORT = 0.015  # least share of the sample's toxic documents that an entry is in
 PRECISION = 0.5  # least lower bound of the share of toxic documents among those with an entry
 THRESHOLD = 0.3
 
 #: Words of abuse that vote whatever the labels say (fixed values).
 ABUSE = frozenset(
-    b"idiot idiots moron morons loser losers scum trash clown clowns stupid pathetic worthless disgusting dumb imbecile "
-    b"cretin filthy vermin garbage freak freaks pig pigs subhuman parasite parasites".split()
+    "idiot idiots moron morons loser losers scum trash clown clowns stupid pathetic worthless disgusting dumb imbecile "
+    "cretin filthy vermin garbage freak freaks pig pigs subhuman parasite parasites".split()
 )
 #: Patterns on the style of a text (fixed values); they vote by how often they are found per 100 words.
 PATTERNS = {
@@ -59,37 +60,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, i
     return found.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
-def signs(own: list[bytes]) -> set[bytes]:
+def signs(own: Iterable[str]) -> set[str]:
     """The different words of a text and the beginnings of longer ones, those with `*` behind."""
     different = set(own)
-    return different | {w[:k] + b"*" for w in different for k in PREFIXES if len(w) > k}
+    return different | {w[:k] + "*" for w in different for k in PREFIXES if len(w) > k}
 
 
-def mine(sample: DataFrame, entries: int = ENTRIES) -> list[bytes]:
-    """The signs that best tell the sample's toxic documents, by the lower bound of their precision, then support."""
+def _words(text: str | None) -> list[str]:
+    return b" ".join(words(text)).decode("utf-8", "replace").split(" ") if text else []
+
+
+def mine(sample: DataFrame, entries: int = ENTRIES) -> list[str]:
+    """The signs that are in most toxic documents of the sample, among those that are precise enough.
+
+    Of signs that begin alike and are in as many documents only the shortest is kept.
+    """
     def count(batch):
         seen, toxic = Counter(), Counter()
         for body, label in zip(batch["text"], batch["label"]):
-            own = signs(words(body))
+            own = signs(_words(body))
             seen.update(own)
             if label:
                 toxic.update(own)
         yield {"sign": list(seen), "n": list(seen.values()), "toxic": [toxic[s] for s in seen]}
 
-    counted = rows(sample, count, "sign binary, n long, toxic long").groupBy("sign").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counted = rows(sample, count, "sign string, n long, toxic long").groupBy("sign").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     total = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n")).first()["n"]
     p, z = F.col("toxic") / F.col("n"), 1.64
     bound = (p + z * z / (2 * F.col("n")) - z * F.sqrt((p * (1 - p) + z * z / (4 * F.col("n"))) / F.col("n"))) / (1 + z * z / F.col("n"))
     good = counted.where(F.col("toxic") >= max(3, math.ceil(SUPPORT * total))).where(bound >= PRECISION)
-    return [bytes(r["sign"]) for r in good.orderBy(F.desc("toxic"), F.desc(bound), "sign").limit(entries).collect()]
+    found = good.orderBy(F.desc("toxic"), F.desc(bound), "sign").limit(10 * entries).collect()
+    kept: dict[tuple, str] = {}
+    for r in found:
+        key = (r["sign"][:3], r["n"], r["toxic"])
+        if key not in kept or len(r["sign"]) < len(kept[key]):
+            kept[key] = r["sign"]
+    return list(kept.values())[:entries]
 
 
 @dataclass
 class Lexicon:
     """What the voters look for; `found` gives the counts of all signs in a text."""
 
-    mined: list[bytes]
-    at: dict[bytes, int] = field(init=False)
+    mined: list[str]
+    at: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
         self.at = {s: i for i, s in enumerate(self.mined)}
@@ -100,14 +114,14 @@ class Lexicon:
 
     def found(self, text: str | None) -> np.ndarray:
         """Counts: mined signs, words of abuse, then patterns per 100 words; last the number of words."""
-        own = words(text)
+        own = _words(text)
         out = np.zeros(self.voters + 1)
         at = self.at.get
         for word, n in Counter(own).items():
             if (i := at(word)) is not None:
                 out[i] += n
             for k in PREFIXES:
-                if len(word) > k and (i := at(word[:k] + b"*")) is not None:
+                if len(word) > k and (i := at(word[:k] + "*")) is not None:
                     out[i] += n
             if word in ABUSE:
                 out[len(self.mined)] += n
@@ -144,7 +158,7 @@ class LabelModel:
         posterior = labels.astype(float)
         prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
         model = LabelModel(np.full((2, votes.shape[1]), 0.5), np.ones(votes.shape[1]), prior)
-        for _ in range(rounds):
+        for _ in range(rounds if len(votes) else 0):
             for k, part in enumerate((1 - posterior, posterior)):
                 model.rate[k] = (part @ votes + 0.5) / (part.sum() + 1)
             residual = votes - ((1 - posterior)[:, None] * model.rate[0] + posterior[:, None] * model.rate[1])
