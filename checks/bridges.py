@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from checks import synthetic
 from signalframe.operators import intervals, measurement as M
 from signalframe.operators.ordered import Series
-from signalframe.sources import synthetic
 
 MINUTE = 60_000_000.0
 

@@ -11,7 +11,7 @@ from signalframe.functions.rules import INFARCT_TERRITORIES, ISCHEMIA_TERRITORIE
 from signalframe.operators.dimensions import DATASETS
 from signalframe.operators.evaluation import INNER_EDGES
 from signalframe.schemas import FEATURES, LEAD_SPELLING, MORPHOLOGY_CODES, RHYTHM_CODES, STANDARD_LEADS, WORKING_LEAD_ORDER
-from signalframe.sources.synthetic import ABSENT, GAIN, GAP, PARAMETERS, ROUNDING, SHIFT, STEPS
+from checks.synthetic import ABSENT, GAIN, GAP, PARAMETERS, ROUNDING, SHIFT, STEPS
 
 ORACLE: dict[str, str] = {}
 
@@ -622,7 +622,7 @@ ORACLE["P8_clean_values"] = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 =
 # --- codes, features, model data ---------------------------------------------------------------
 
 CODED = f"WITH c AS (SELECT event_id, event_type, CASE event_id % 5 WHEN 0 THEN 'LAE' WHEN 1 THEN 'NORM' WHEN 2 THEN 'AFIB' WHEN 3 THEN 'ABQRS' ELSE 'SR' END AS second FROM events) "
-ORACLE["P10_code_map"] = "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 0 ELSE 2 END AS codes FROM events"
+ORACLE["P10_code_map"] = "SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 13 = 1 THEN 3 ELSE 2 END AS codes FROM events"
 ORACLE["P11_code_label"] = CODED + f"""SELECT event_id, (event_type IN ({listed(MORPHOLOGY_CODES)}) OR second IN ({listed(MORPHOLOGY_CODES)}))::INT AS morphology_label,
   (event_type IN ({listed(RHYTHM_CODES)}) OR second IN ({listed(RHYTHM_CODES)}))::INT AS rhythm_label FROM c"""
 ORACLE["U3_code_overlap"] = CODED + f"SELECT event_type IN ({listed(RHYTHM_CODES)}) OR second IN ({listed(RHYTHM_CODES)}) AS overlaps, count(*) AS n FROM c GROUP BY 1"
@@ -635,7 +635,8 @@ ORACLE["P7_feature_alias"] = FEAT + "SELECT k, age, sex, NULL::DOUBLE AS p_durat
 ORACLE["A33_completeness"] = FEAT + "SELECT k, " + " + ".join(f"({f} IS NULL)::INT" for f in FEATURES) + " AS missing FROM q"
 ORACLE["M1_stratified_split"] = FEAT + """, o AS (SELECT *, row_number() OVER (PARTITION BY current_atrial_abnormality ORDER BY md5(k || ':42')) AS pos, ceil(count(*) OVER (PARTITION BY current_atrial_abnormality) * 0.3) AS quota FROM q)
 SELECT ecg_id, current_atrial_abnormality, pos <= quota AS is_test FROM o"""
-ORACLE["C13_group_split"] = "SELECT o_custkey, 1 AS sides, count(*) AS rows FROM orders GROUP BY 1"
+# a fifth of the 32-bit numbers lies below 33333333 in hexadecimal
+ORACLE["C13_group_split"] = "SELECT o_orderkey, o_custkey, substr(md5(o_custkey || ':42'), 1, 8) < '33333333' AS is_test FROM orders"
 MED = FEAT + ", md AS (SELECT " + ", ".join(f"median({f}) AS m_{f}" for f in FEATURES) + " FROM q), im AS (SELECT k, " + ", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in FEATURES) + " FROM q, md) "
 ORACLE["M2_median_impute"] = MED + f"SELECT k, {r6(*FEATURES)} FROM im"
 ORACLE["M3_standardise"] = MED + ", ms AS (SELECT " + ", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES) + f" FROM im) SELECT k, {r6(*[f'({f} - a_{f}) / s_{f} AS {f}' for f in FEATURES])} FROM im, ms"
@@ -705,4 +706,4 @@ SELECT {ID}, 100.0::DOUBLE AS sampling_frequency, {HELD} AS number_of_leads, con
 ORACLE["P9_dead_letters"] = f"""{BASE} SELECT 'records/' || k AS stem, CASE WHEN 1001 % (2 * ({HELD})) <> 0 THEN 'signal file has a partial frame' ELSE 'length differs from header' END AS error
 FROM par WHERE k % 14 NOT IN (3, 5) AND k % 11 = 0"""
 ORACLE["O6_first_pair"] = "SELECT min('records/' || c_custkey) AS stem FROM customer WHERE c_custkey % 14 NOT IN (3, 5)"
-ORACLE["T1_arrivals"] = BASE + f", work AS MATERIALIZED ({lead('II')})" + PEAKS[len(WORK):].replace("SELECT k, -25 AS last FROM par", "SELECT k, -25 AS last FROM par") + spans("w", 8, 8, 0.18, 20) + f"SELECT {ID}, round_even(avg((s_off - q_on + 1) / 100.0 * 1000.0), 1) AS qrs_duration_ms FROM par LEFT JOIN w USING (k) GROUP BY k"
+ORACLE["T1_arrivals"] = ORACLE["A10_qrs_duration"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,11 +18,11 @@ from signalframe.operators import (
 from signalframe.plans import analyse, feature_job
 from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES
 from signalframe.session import settle, shared_dir
-from signalframe.sources import synthetic, tables, wfdb
+from checks import encode, synthetic
+from signalframe.sources import tables, wfdb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-TREES = 10  # boosting rounds of the registered model queries; the training job uses the full number
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -440,11 +441,11 @@ def fibrillatory_power(spark, sf):
 
 @query("C1_normalised_leads")
 def normalised_leads(spark, sf):
-    normal = preprocessing.normalise(synthetic.records(spark, sf, ["II", "V2"]), 250.0)
+    normal = preprocessing.normalise(synthetic.records(spark, sf))
     return rounded(
-        normal.select(
-            "record_id", "fs", "n", F.size("leads.V2").alias("samples"),
-            F.aggregate("leads.V2", F.lit(0.0), lambda a, v: a + F.coalesce(v * v, F.lit(0.0))).alias("energy"),
+        M.leads_long(normal).select(
+            "record_id", "lead", "fs", "n", F.size("samples").alias("samples"),
+            F.aggregate("samples", F.lit(0.0), lambda a, v: a + F.coalesce(v * v, F.lit(0.0))).alias("energy"),
         )
     )
 
@@ -464,18 +465,21 @@ def beat_similarity(spark, sf):
 @query("C12_feature_bundle")
 def feature_bundle(spark, sf):
     detected = bridges.detected(spark, sf)
-    staged = detected.select(
-        "record_id", "peaks",
+    counted = settle(detected.select("record_id", "peaks", "fs", "c", "x", "lead_names", M._usable_count(detected).alias("usable")))
+    staged = counted.select(
+        "record_id", "peaks", "usable",
         R.rr_intervals(F.col("peaks"), F.col("fs")).alias("rr"),
         B.p_wave(F.col("c"), F.col("peaks"), F.col("fs")).alias("p"),
-        Q.signal_quality(F.col("x"), F.col("fs"), F.size("peaks"), F.lit(12), F.lit(12)).alias("quality"),
+        Q.signal_quality(F.col("x"), F.col("fs"), F.size("peaks"), F.col("usable"), F.size("lead_names")).alias("quality"),
+        S.band_power(F.col("x"), F.col("fs")).alias("power"),
     )
     return rounded(
         R.add_interval_features(staged, "rr", "r").select(
             "record_id", F.size("peaks").alias("qrs_count"), "r.rr_cv", "r.rmssd_ms", "r.turning_point_ratio",
             "r.sample_entropy", "r.shannon_entropy", "p.p_wave_presence_ratio", "p.pr_mean_ms",
-            "quality.noise_score", "quality.baseline_wander_score",
-        )
+            "quality.noise_score", "quality.baseline_wander_score", "quality.signal_quality_index", "usable",
+            S.fibrillatory(F.col("power")).alias("fibrillatory"),
+        ).select("*", "fibrillatory.*").drop("fibrillatory")
     )
 
 
@@ -668,7 +672,8 @@ def _coded(spark, sf) -> DataFrame:
 
 @query("P10_code_map")
 def code_maps(spark, sf):
-    codes = _coded(spark, sf).withColumn("scp_codes", F.when(F.col("event_id") % 17 == 0, "bad").otherwise(F.col("scp_codes")))
+    odd = F.when(F.col("event_id") % 17 == 0, "bad").when(F.col("event_id") % 13 == 1, "{'NORM': None, \"a: None, b\": 1.0, 5: True}")
+    codes = _coded(spark, sf).withColumn("scp_codes", odd.otherwise(F.col("scp_codes")))
     return codes.select("event_id", F.size(code_map(F.col("scp_codes"))).alias("codes"))
 
 
@@ -726,7 +731,7 @@ def stratified_split(spark, sf):
 def group_split(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     split = selection.group_split(orders, "o_custkey")
-    return split.groupBy("o_custkey").agg(F.count_distinct("is_test").alias("sides"), F.count(F.lit(1)).alias("rows"))
+    return split.select("o_orderkey", "o_custkey", "is_test")
 
 
 @query("M2_median_impute")
@@ -943,7 +948,7 @@ def adapted_labels(spark, sf):
 
 def _files(spark, sf) -> DataFrame:
     """Header and signal files of the synthetic records; some lack their partner."""
-    files = wfdb.encode_records(synthetic.records(spark, sf), "records/", synthetic.STEPS)
+    files = encode.encode_records(synthetic.records(spark, sf), "records/", synthetic.STEPS)
     key = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
     lost = (F.col("path").endswith(".dat") & (key % 14 == 3)) | (F.col("path").endswith(".hea") & (key % 14 == 5))
     return files.filter(~lost)
@@ -1002,16 +1007,22 @@ def first_pair(spark, sf):
 # --- models (no SQL counterpart) ---------------------------------------------------------------
 
 
-_TRAINED: dict[tuple[str, str], models.Trained] = {}
+def _trained(spark, sf) -> models.Trained:
+    """The training job with its own settings."""
+    return models.train(bridges.feature_rows(spark, sf).drop("k"), "ecg_id", "current_atrial_abnormality")
 
 
-def _trained(spark, sf) -> models.Trained:
-    """One training per session and input, shared by the queries that only read its result."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
-        rows = bridges.feature_rows(spark, sf).drop("k")
-        _TRAINED[key] = models.train(rows, "ecg_id", "current_atrial_abnormality", trees=TREES)
-    return _TRAINED[key]
+@functools.cache
+def _saved(application: str, sf: str) -> str:
+    """Where the artefacts lie that the queries of a session load which use a model but do not train one."""
+    spark = SparkSession.getActiveSession()
+    folder = _fresh(spark, "models")
+    models.save_artifacts(spark, _trained(spark, sf), folder)
+    return folder
+
+
+def _loaded(spark, sf):
+    return models.load_artifacts(spark, _saved(spark.sparkContext.applicationId, sf))
 
 
 @query("M4_logistic_coefficients")
@@ -1043,16 +1054,16 @@ def boosted_scores(spark, sf):
 @query("M6_scores")
 def scores(spark, sf):
     rows = bridges.feature_rows(spark, sf).drop("k")
-    return models.reported_scores(models.score(rows, _trained(spark, sf).model, "ecg_id"), "ecg_id")
+    return models.reported_scores(models.score(rows, _loaded(spark, sf)[0], "ecg_id"), "ecg_id")
 
 
 @query("M9_reload_identity")
 def reload_identity(spark, sf):
-    trained, folder = _trained(spark, sf), _fresh(spark, "models")
-    models.save_artifacts(spark, trained, folder)
-    loaded, _ = models.load_artifacts(spark, folder)
-    sample = bridges.feature_rows(spark, sf).drop("k")
-    return models.reload_difference(sample, "ecg_id", trained.model, loaded)
+    model, metadata = _loaded(spark, sf)
+    folder = _fresh(spark, "models")
+    models.save_artifacts(spark, models.Trained(model, None, None, None, metadata), folder)
+    again, _ = models.load_artifacts(spark, folder)
+    return models.reload_difference(bridges.feature_rows(spark, sf).drop("k"), "ecg_id", model, again)
 
 
 @query("M10_model_metrics")
@@ -1062,7 +1073,7 @@ def model_metrics(spark, sf):
 
 @query("M11_smoke_scores")
 def smoke_scores(spark, sf):
-    return models.smoke_scores(bridges.feature_rows(spark, sf).drop("k"), _trained(spark, sf).model, "ecg_id", "current_atrial_abnormality")
+    return models.smoke_scores(bridges.feature_rows(spark, sf).drop("k"), _loaded(spark, sf)[0], "ecg_id", "current_atrial_abnormality")
 
 
 @query("S10_saved_metadata")
@@ -1074,9 +1085,7 @@ def saved_metadata(spark, sf):
 
 @query("S11_loaded_scores")
 def loaded_scores(spark, sf):
-    folder = _fresh(spark, "models")
-    models.save_artifacts(spark, _trained(spark, sf), folder)
-    model, _ = models.load_artifacts(spark, folder)
+    model, _ = _loaded(spark, sf)
     return models.score(bridges.feature_rows(spark, sf).drop("k"), model, "ecg_id")
 
 
@@ -1107,8 +1116,7 @@ def measurement_bundle(spark, sf):
 
 @query("R12_report")
 def report(spark, sf):
-    trained = _trained(spark, sf)
-    documents = analyse.analyse(synthetic.records(spark, sf), trained.model, trained.metadata)
+    documents = analyse.analyse(synthetic.records(spark, sf), *_loaded(spark, sf))
     return documents.select(
         "record_id", "selected_lead", "qrs_count", "af_detection_score", "main_atrial_remodeling_score", "confidence_score",
         "rhythm", F.col("advanced_ecg_interpretation.physician_report").alias("physician_report"),
@@ -1117,8 +1125,8 @@ def report(spark, sf):
 
 @query("S14_documents")
 def documents(spark, sf):
-    trained, path = _trained(spark, sf), _fresh(spark, "documents")
-    tables.save_documents(analyse.analyse(synthetic.records(spark, sf), trained.model, trained.metadata), path)
+    path = _fresh(spark, "documents")
+    tables.save_documents(analyse.analyse(synthetic.records(spark, sf), *_loaded(spark, sf)), path)
     text = spark.read.text(path)
     return text.select(
         F.get_json_object("value", "$.record_id").alias("record_id"),
@@ -1135,7 +1143,7 @@ def arrivals(spark, sf):
     out, checkpoint = _fresh(spark, "arrivals"), _fresh(spark, "arrivals-checkpoint")
 
     def score_batch(stream: DataFrame) -> DataFrame:
-        return M.qrs_duration(M.detect_beats(synthetic.waveforms(stream, ["II"], spread=0), "II"))
+        return M.qrs_duration(M.detect_beats(synthetic.waveforms(stream, spread=0)))
 
     stream = arriving(spark, f"{sf}/customer.parquet*", customers)
     append_results(stream, score_batch, out, checkpoint).awaitTermination()

@@ -532,7 +532,7 @@ def text_report(
     primary: Column, heart_rate: Column, axis_class: Column, stemi_status: Column, af: Column, hf_category: Column,
     flags: Column, chamber_summary: Column,
 ) -> Column:
-    sentence = F.concat(F.upper(F.substring(primary, 1, 1)), F.lower(F.substring(primary, 2, 1000)), F.lit("."))
+    sentence = F.concat(F.upper(F.substring(primary, 1, 1)), F.lower(F.substr(primary, F.lit(2))), F.lit("."))
     return F.concat_ws(
         "\n",
         F.lit("FINAL ECG INTERPRETATION"),

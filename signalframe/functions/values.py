@@ -36,10 +36,20 @@ def first_alias(df: DataFrame, feature: str) -> Column:
     return F.coalesce(*[clean(F.col(a)) for a in names]) if names else F.lit(None).cast("double")
 
 
+_OUTSIDE_QUOTES = r"""(?=(?:[^'"]|'[^']*'|"[^"]*")*$)"""
+
+
 def code_map(text: Column) -> Column:
-    """Codes and likelihoods from a dictionary literal; an empty map for anything else."""
+    """Codes and likelihoods from a Python dictionary literal; an empty map for anything else.
+
+    ``None`` is a missing likelihood, and keys may be numbers or constants; both keep their spelling
+    inside quotes.
+    """
+    plain = text
+    for word, spelt in (("None", "null"), ("True", "true"), ("False", "false")):
+        plain = F.regexp_replace(plain, rf"\b{word}\b(?=\s*[,}}]){_OUTSIDE_QUOTES}", spelt)
     parsed = F.from_json(
-        text, T.MapType(T.StringType(), T.StringType()), {"allowSingleQuotes": "true"}
+        plain, T.MapType(T.StringType(), T.StringType()), {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
     )
     return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
 

@@ -74,8 +74,8 @@ def usable_leads(records: DataFrame) -> DataFrame:
 
 
 def _usable_count(records: DataFrame) -> Column:
-    leads = F.array(*[F.col("leads")[l] for l in lead_columns(records)])
-    return F.size(F.filter(leads, lambda x: x.isNotNull() & (Q.lead_quality(x) >= Q.USABLE)))
+    qualities = Q.lead_qualities(F.array(*[F.col("leads")[l] for l in lead_columns(records)]))
+    return F.size(F.filter(qualities, lambda q: q >= Q.USABLE))
 
 
 def _by_quality(records: DataFrame, leads: list[str]) -> Column:
@@ -171,20 +171,21 @@ def qt_interval(detected: DataFrame) -> DataFrame:
     return detected.select("record_id", B.qt_interval(c, B.qrs_bounds(c, peaks, fs), fs).alias("qt_ms"))
 
 
-def lead_measure(detected: DataFrame, measure, alias: str, leads: list[str] | None = None) -> DataFrame:
-    """``measure(centred samples, peaks, fs, lead)`` for every present lead of every record."""
+def lead_measure(detected: DataFrame, measure, alias: str, leads: list[str] | None = None, centred: bool = True) -> DataFrame:
+    """``measure(samples, peaks, fs, lead)`` for every present lead of every record; less their median if ``centred``."""
+    samples = centre(F.col("samples")) if centred else F.col("samples")
     return settle(
         leads_long(detected, leads, "peaks").select(
             "record_id",
             "lead",
-            measure(centre(F.col("samples")), F.col("peaks"), F.col("fs"), F.col("lead")).alias(alias),
+            measure(samples, F.col("peaks"), F.col("fs"), F.col("lead")).alias(alias),
         )
     )
 
 
 def st_levels(detected: DataFrame) -> DataFrame:
-    """Reported segment level per record and lead."""
-    found = lead_measure(detected, lambda c, p, fs, lead: L.st_level(c, p, fs), "st_level_mv")
+    """Reported segment level per record and lead: a difference, so the lead need not be centred."""
+    found = lead_measure(detected, lambda x, p, fs, lead: L.st_level(x, p, fs), "st_level_mv", centred=False)
     return found.filter(F.col("st_level_mv").isNotNull())
 
 

@@ -199,8 +199,8 @@ def train(
         "random_state": seed,
         "test_size": test_share,
         "feature_columns": list(FEATURES),
-        "missing_value_strategy": "median imputation fitted on training split",
-        "normalization": "StandardScaler fitted on training split for logistic regression only",
+        "missing_value_strategy": "exact medians of the training rows replace missing inputs",
+        "normalization": "logistic regression inputs: less the mean, over the population deviation, of the imputed training rows",
         "gradient_model_type": "GBTClassifier",
         "logistic_auc": found["logistic"]["auc"],
         "gradient_boosting_auc": found["gradient_boosting"]["auc"],

@@ -129,4 +129,5 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
 
 def group_split(df: DataFrame, group: str, test_percent: int = 20, seed: int = 42) -> DataFrame:
     """Add ``is_test`` so that all rows of a group (a patient) fall on one side."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(100)) < test_percent)
+    part = F.conv(F.substring(seeded_order(F.col(group), seed), 1, 8), 16, 10).cast("long")
+    return df.withColumn("is_test", F.coalesce(part < int(2 ** 32 * test_percent / 100), F.lit(False)))

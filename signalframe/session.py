@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-_local_dir: str | None = None
-
 
 def get_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -23,22 +23,27 @@ def get_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSess
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="signalframe-"))
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints.
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    A temporary one is made only where the setting is absent, which is the case in local tests.
+    A cluster must name it. A local session, whose driver and executor are one process, makes its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    global _local_dir
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="signalframe-")
-    return _local_dir
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="signalframe-")
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ from signalframe.functions.values import clean
 from signalframe.schemas import FEATURE_TABLE, FEATURES, PREDICTIONS, RECORD_METADATA, TARGET_NAMES
 
 
-def read_record_metadata(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def read_record_metadata(spark: SparkSession, path: str, limit: int | None = None, multi_line: bool = False) -> DataFrame:
     """The record metadata CSV, by column name and without inference; rows without a file are dropped.
 
-    ``limit`` keeps the first records by key, before anything is read for them.
+    ``limit`` keeps the first records by key, before anything is read for them. ``multi_line`` is for
+    files with line breaks inside quotes; such a file is read by one task.
     """
     wanted = {f.name: f.dataType for f in RECORD_METADATA}
-    text = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    text = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     typed = text.select(*[
         (clean(F.col(n)).cast(t) if t.simpleString() in ("double", "bigint") else F.col(n)).alias(n)
         for n, t in wanted.items()
@@ -72,16 +73,14 @@ def read_feature_table(spark: SparkSession, path: str, target: str | None = None
     return df, name
 
 
-def save_checked(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Write, refuse an empty table, verify by reading back; returns the saved row count."""
-    if df.isEmpty():
-        raise RuntimeError("Table is empty; refusing to save.")
-    writer = df.write.mode("overwrite")
+def save_checked(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = True) -> int:
+    """Write, then count what can be read back; an empty table is an error. The table is computed once."""
+    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
     reader = df.sparkSession.read
-    rows = (reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)).count()
+    rows = (reader.option("header", True).csv(path) if fmt == "csv" else reader.schema(df.schema).format(fmt).load(path)).count()
     if not rows:
-        raise RuntimeError(f"Save failed: nothing found at {path}")
+        raise RuntimeError("Table is empty; nothing was saved.")
     return rows
 
 

@@ -67,3 +67,19 @@ def test_preview_picks_evenly_and_scales(spark):
 def test_resample_interpolates_linearly(spark):
     got = one(spark, [0.0, 1.0, 3.0], resample(F.col("x"), F.lit(100.0), 200.0))[0]
     assert got == [0.0, 0.5, 1.0, 2.0, 3.0]
+
+
+def test_normalise_equals_convolution(spark):
+    from signalframe.operators.preprocessing import normalise
+
+    rng = np.random.default_rng(3)
+    x, broken = rng.normal(size=300), rng.normal(size=300)
+    rows = [("a", 250.0, 300, ["ii", "V2"], {"ii": x.tolist(), "V2": None}), ("b", 250.0, 300, ["ii"], {"ii": [None if i == 150 else float(v) for i, v in enumerate(broken)], "V2": []})]
+    records = spark.createDataFrame(rows, "record_id string, fs double, n int, lead_names array<string>, leads struct<ii: array<double>, V2: array<double>>")
+    got = {r.record_id: r for r in normalise(records).collect()}
+    y = np.interp(np.arange(599) / 2, np.arange(300), x)
+    same = lambda v, w: np.convolve(np.concatenate((np.zeros(w // 2), v, np.zeros((w - 1) // 2))), np.ones(w) / w, "valid")
+    y = same(y, 10)
+    assert got["a"].fs == 500.0 and got["a"].n == 599 and got["a"].lead_names[0] == "II"
+    assert np.allclose(got["a"].leads.II, same(y, 6) - same(y, 599)) and got["a"].leads.V2 is None
+    assert got["b"].leads.V2 == [] and got["b"].leads.II[300] is None

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from signalframe.functions import beats as B, leads as L, quality as Q
 from signalframe.functions.arrays import centre
 from signalframe.operators import long_records, measurement as M
-from signalframe.sources import synthetic
+from checks import synthetic
 
 SCHEMA = "record_id string, fs double, x array<double>"
 

@@ -9,7 +9,7 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from signalframe.operators import measurement as M
 from signalframe.plans import analyse
-from signalframe.sources import synthetic
+from checks import synthetic
 from signalframe.streaming.arrivals import append_results, arriving
 
 SF = "/root/testdata/sf0.001"

@@ -7,7 +7,8 @@ from signalframe.functions.values import clean, code_map, comment_age, comment_s
 from signalframe.operators import dimensions, features, models
 from signalframe.plans import feature_job, training_job, validation_job
 from signalframe.schemas import DELINEATION, FEATURES, MORPHOLOGY_CODES
-from signalframe.sources import synthetic, tables, wfdb
+from checks import encode, synthetic
+from signalframe.sources import tables, wfdb
 
 
 def column(spark, values, kind, build):
@@ -35,7 +36,7 @@ def test_demographics_last_parsable_wins(spark):
 def test_record_files_round_trip(spark, tmp_path):
     customers = spark.range(12).selectExpr("id AS c_custkey", "'X' AS c_mktsegment", "0 AS c_nationkey")
     records = synthetic.waveforms(customers)
-    files = wfdb.encode_records(records, "", synthetic.STEPS).collect()
+    files = encode.encode_records(records, "", synthetic.STEPS).collect()
     for f in files:
         if f.path not in ("3.dat", "5.hea"):
             (tmp_path / f.path.replace(".dat", ".DAT") if f.path == "2.dat" else tmp_path / f.path).write_bytes(bytes(f.content))
@@ -52,7 +53,7 @@ def test_record_files_round_trip(spark, tmp_path):
         "bad": "signal file has a partial frame", "other": "format is not 16"
     }
     names = records.schema["leads"].dataType.names
-    back = {r.record_id: r for r in wfdb.to_records(wfdb.decode_leads(readable), readable, names).collect()}
+    back = {r.record_id: r for r in wfdb.to_records(readable, names).collect()}
     for r in records.filter("k NOT IN (3, 5)").collect():
         assert back[r.record_id].lead_names == r.lead_names and back[r.record_id].comments == r.comments
         for lead in names:
@@ -100,10 +101,32 @@ def test_feature_table_job(spark, tmp_path):
     assert one.ptfv1_mv_ms == pytest.approx(0.05 * 100.0)
     assert all(two[f] is None for f in FEATURES if f not in ("age", "sex"))
     assert [r.ecg_id for r in features.unmatched(tables.usable_metadata(metadata), records).collect()] == [3]
-    with pytest.raises(RuntimeError):
+    with pytest.raises(RuntimeError, match="empty"):
         tables.save_checked(table.limit(0), str(tmp_path / "none"))
 
 
+def test_equal_names_in_two_folders_stay_two_records(spark, tmp_path):
+    for folder, value in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.hEa").write_text("r 2 100 3\nr.dat 16 1(0)/mV 16 0 0 0 0 i\nr.dat 16 1(0)/mV 16 0 0 0 0 V1\n# age: 5")
+        np.full((3, 2), value, dtype="<i2").tofile(tmp_path / folder / "r.DAT")
+    pairs = wfdb.find_pairs(wfdb.read_files(spark, str(tmp_path)))
+    readable, _ = wfdb.split_readable(pairs)
+    got = wfdb.to_records(readable, ["I", "V1", "V6"]).collect()
+    assert sorted((r.metadata["stem"][-3:], r.leads.I[0], r.lead_names[0], r.leads.V6) for r in got) == [("a/r", 1.0, "I", None), ("b/r", 2.0, "I", None)]
+    assert wfdb.decode_leads(readable).select("stem", "lead").distinct().count() == 4
+
+
+def test_code_map_reads_python_literals(spark):
+    from signalframe.functions.values import code_map
+
+    texts = ["{'NORM': None}", "{'A': True, 5: 1.0}", "{\"a: None, b\": 2}", "{}", "bad", "[1]", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.m for r in df.select(code_map(F.col("t")).alias("m")).collect()] == [
+        {"NORM": None}, {"A": "true", "5": "1.0"}, {"a: None, b": "2"}, {}, {}, {}, {}
+    ]
+
+
 def test_table_checks(spark):
     df = spark.createDataFrame([(1.0,) * 9 + (2,)], ", ".join(f"{f} double" for f in FEATURES) + ", label int")
     assert tables.resolve_target(df) == "label"
