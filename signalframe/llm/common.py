@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from signalframe.session import materialise, shared_dir
 
-__all__ = ["column", "lower_ascii", "materialise", "rows", "shared_dir", "spaced_words", "words"]
+__all__ = ["column", "kept", "lower_ascii", "materialise", "rows", "shared_dir", "spaced_words", "words"]
 
 #: Rows that one call of a row function sees, in bytes of its text column.
 SLICE_BYTES = 8 << 20
@@ -27,6 +28,18 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def kept(name: str, make: Callable):
+    """What `make` returned when this worker process first asked for it.
+
+    Functions travel with each task by value, and a module's globals with them; so they are new in every
+    task and must not hold what is costly to build.
+    """
+    store = sys.__dict__.setdefault("_signalframe_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def lower_ascii(text: str | None) -> bytes:
     """UTF-8 of the text with A-Z lower-cased and nothing else changed; null is empty."""
     return (text or "").encode("utf-8", "replace").translate(_LOWER)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
 
-from signalframe.llm.common import column, lower_ascii, rows, words
+from signalframe.llm.common import column, kept, lower_ascii, rows, words
 
 # Licence, its names (any of `-`, blanks and line breaks at a blank), its addresses.
 LICENCES = """
@@ -184,15 +184,6 @@ class Scanner:
         return taken
 
 
-_SCANNER: list[Scanner] = []
-
-
-def _scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
-
-
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, detections, first_word, last_word, n_base, score) for every row.
 
@@ -208,7 +199,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
     def run(batch):
-        scanner, out = _scanner(), []
+        scanner, out = kept("licence rules", Scanner), []
         for doc, body in zip(batch["doc_id"], batch["text"]):
             plain = lower_ascii(body).decode()
             found = scanner.detections(plain)
