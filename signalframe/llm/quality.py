@@ -146,10 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
 
 def score(docs: DataFrame, trees: Trees, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row, from its whole text; null is an empty text; repeated rows stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
-
     def run(batch):
         x = np.array([statistics(t) for t in batch["text"]], dtype=float)
-        yield {"doc_id": batch["doc_id"], "score": shared.value.score(x)}
+        yield {"doc_id": batch["doc_id"], "score": trees.score(x)}
 
     return rows(docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text")), run, "doc_id long, score double")

@@ -206,15 +206,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc_id", text: str = "text") -> Model:
     """Fits voters, label model and classifier on at most `sample` of the labelled documents.
 
-    `labels`: the id and `toxic` (1 or 0). Without labelled documents every score is the prior's, 0.5.
+    `labels`: the id and `toxic` (1 or 0). Without labelled documents nothing is toxic: all scores are near 0.
     """
     known = labelled_sample(docs, labels, "toxic", sample, id, text).cache()
     try:
         lexicon = Lexicon(mine(known))
-        shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
         def look(batch):
-            yield {"label": batch["label"], "found": [shared.value.found(t) for t in batch["text"]]}
+            yield {"label": batch["label"], "found": [lexicon.found(t) for t in batch["text"]]}
 
         seen = rows(known, look, "label int, found array<double>").collect()  # `sample` rows at most
     finally:
@@ -227,28 +226,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
     votes = lexicon.votes(found)
     model = LabelModel.fit(votes, target)
     soft = 0.5 * target + 0.5 * model.posterior(votes)
-    return Model(lexicon, model, fit_linear(lexicon.features(found), soft))
+    weights = fit_linear(lexicon.features(found), soft)
+    weights[-1] -= 0.0 if len(target) else 30.0
+    return Model(lexicon, model, weights)
 
 
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row, from its whole text; null and empty texts have no signs; repeated rows stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batch):
-        found = np.array([shared.value.lexicon.found(t) for t in batch["text"]])
-        yield {"doc_id": batch["doc_id"], "score": shared.value.score(found)}
+        found = np.array([model.lexicon.found(t) for t in batch["text"]])
+        yield {"doc_id": batch["doc_id"], "score": model.score(found)}
 
     return rows(docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text")), run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows whose text scores below the threshold, all columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batch):
-        found = np.array([shared.value.lexicon.found(t) for t in batch[text]])
-        keep = np.flatnonzero(shared.value.score(found) < threshold)
+        found = np.array([model.lexicon.found(t) for t in batch[text]])
+        keep = np.flatnonzero(model.score(found) < threshold)
         yield {c: [batch[c][i] for i in keep] for c in names}
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -58,7 +58,7 @@ def test_toxicity_of_odd_rows(spark):
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == 124 - 42
     none = toxicity.fit(docs, labels.limit(0))
-    assert {round(r["score"], 6) for r in toxicity.score(docs.limit(3), none).collect()} <= {0.5} or True
+    assert all(r["score"] < 1e-6 for r in toxicity.score(docs.limit(3), none).collect())
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
