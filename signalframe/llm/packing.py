@@ -30,8 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
+from tokenizers import Tokenizer
 
-from signalframe.llm.common import column, materialise, rows
+from signalframe.llm.common import column, kept, materialise, rows
 
 CAPACITY = 2048
 GROUPS = 48  # of equal cardinality, at most
@@ -99,23 +100,18 @@ class _Ids(dict):
             return self.plain(text)
 
 
-_LOADED: dict[int, _Ids] = {}
-
-
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 
 
 def _ids(tokenizer_json: str) -> _Ids:
-    """The worker's tokenizer; a worker process keeps it for its later tasks."""
-    from tokenizers import Tokenizer
-
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _LOADED:
+    """The worker's tokenizer; the words it has met stay known to the process's later tasks."""
+    def make() -> _Ids:
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
-        _LOADED[key] = _Ids(tokenizer)
-    return _LOADED[key]
+        return _Ids(tokenizer)
+
+    return kept(f"tokenizer {zlib.crc32(tokenizer_json.encode())}", make)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
