@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalframe.functions import rhythm
-from signalframe.operators.ordered import Series, with_previous
+from signalframe.operators.ordered import PART_ROWS, Series, with_previous
 
 
 def rr_series(
@@ -14,15 +14,14 @@ def rr_series(
     time: str = "t",
     order: list[str] | None = None,
     scale: float = 1.0,
-    share: float = 1e-3,
-    floor: int = 100_000,
+    part_rows: int = PART_ROWS,
 ) -> Series:
     """Intervals, their first and second neighbours' differences and turning points.
 
     ``time`` is an integer clock (sample index, microseconds); ``scale`` turns a difference of it
     into milliseconds. The first beat of a series has no interval and is dropped.
     """
-    base = with_previous(events, key, order or [time], time, 3, F.col(time).cast("double"), share, floor)
+    base = with_previous(events, key, order or [time], time, 3, part_rows)
     gap = [
         (F.col(time) - F.col("prev_1")) / scale,
         (F.col("prev_1") - F.col("prev_2")) / scale,

@@ -1,17 +1,21 @@
 """Neighbours in a long ordered series, also when one series holds a large share of all rows.
 
-A window over a series puts the whole series into one task. Series that are too long for that are
-cut into consecutive parts of their order; each part is windowed alone and receives the last few
-values before it from a small table of part tails. All other series keep the plain window.
+A window over a series puts the whole series into one task. So all rows are dealt out by ranges of series
+and order first: a range holds about the same number of rows whatever the series are, short series share
+one, and a long series is cut into consecutive parts. A part is windowed alone and receives the last few
+values before it from a small table of part tails.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalframe.session import materialise
+
+PART_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Series:
@@ -22,74 +26,37 @@ class Series:
     part_keys: list[str]
 
 
-def long_series(df: DataFrame, key: str, position: Column, share: float = 1e-3, floor: int = 100_000) -> DataFrame | None:
-    """Key, range and part count of each series above ``max(floor, share * rows)``; None if there is none.
+def in_parts(df: DataFrame, key: str, order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """The rows with ``part``: ranges of about ``part_rows`` rows, ascending with the order inside a series.
 
-    At most ``1 / share`` series can hold more than that share, so the result is small whatever the
-    input is, and may be broadcast.
-    """
-    total = df.count()
-    limit = max(floor, int(share * total))
-    counts = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.min(position).alias("low"), F.max(position).alias("high")
-    )
-    heavy = counts.filter(F.col("n") > limit)
-    found = heavy.orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
-    if not found:
-        return None
-    rows = [
-        (r[key], float(r["low"]), float(r["high"]), int(min(4096, max(2, math.ceil(4 * r["n"] / limit)))))
-        for r in found
-    ]
-    kind = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"`{key}` {kind}, low double, high double, parts int")
-
-
-def with_previous(
-    df: DataFrame,
-    key: str,
-    order: list[str],
-    value: str,
-    depth: int,
-    position: Column,
-    share: float = 1e-3,
-    floor: int = 100_000,
-) -> Series:
-    """Add ``prev_1 .. prev_depth``: the value 1 .. depth rows earlier in the series.
-
-    ``position`` is a number that grows with ``order``; it decides where long series are cut.
+    Stored, because the limits of the ranges come from a sample and every later pass must see the same.
     """
-    heavy = long_series(df, key, position, share, floor)
-    if heavy is None:
-        window = Window.partitionBy(key).orderBy(*order)
-        rows = df.select("*", *[F.lag(value, d).over(window).alias(f"prev_{d}") for d in range(1, depth + 1)])
-        return Series(rows, [key], [key])
-
-    width = F.greatest(F.col("high") - F.col("low"), F.lit(1e-9))
-    slot = F.floor((position - F.col("low")) / width * F.col("parts")).cast("int")
-    parted = (
-        df.join(F.broadcast(heavy), key, "left")
-        .withColumn("part", F.coalesce(F.least(slot, F.col("parts") - 1), F.lit(0)))
-        .drop("low", "high")
-    )
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-df.count() // part_rows))
+    return materialise(df.repartitionByRange(parts, key, *order).withColumn("part", F.spark_partition_id()))
+
+
+def with_previous(df: DataFrame, key: str, order: list[str], value: str, depth: int, part_rows: int = PART_ROWS) -> Series:
+    """Add ``prev_1 .. prev_depth``: the value 1 .. depth rows earlier in the series."""
+    parted = in_parts(df, key, order, part_rows)
     inside = Window.partitionBy(key, "part").orderBy(*order)
-    backwards = Window.partitionBy(key, "part").orderBy(*[F.desc(o) for o in order])
+    size = F.count(F.lit(1)).over(Window.partitionBy(key, "part"))
     numbered = parted.select(
         "*",
         F.row_number().over(inside).alias("_at"),
-        F.row_number().over(backwards).alias("_from_end"),
+        size.alias("_size"),
         *[F.lag(value, d).over(inside).alias(f"_lag_{d}") for d in range(1, depth + 1)],
     )
-    # The last `depth` values of every part of a long series, then of the parts before it.
+    # The last `depth` values of every part, then those of the parts before it.
     tails = (
-        numbered.filter(F.col("parts").isNotNull() & (F.col("_from_end") <= depth))
+        numbered.filter(F.col("_size") - F.col("_at") < depth)
         .groupBy(key, "part")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("_at"), F.col(value).alias("v")))).alias("tail"))
     )
     earlier = Window.partitionBy(key).orderBy("part").rowsBetween(-depth, -1)
     carried = tails.select(
         key, "part", F.transform(F.flatten(F.collect_list("tail").over(earlier)), lambda t: t["v"]).alias("_carried")
-    )
+    ).filter(F.size("_carried") > 0)
     joined = numbered.join(carried, [key, "part"], "left")
 
     def previous(d: int) -> Column:

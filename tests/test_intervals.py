@@ -28,10 +28,10 @@ def by_record(df):
 
 def test_split_series_equal_whole_series(beats):
     whole = intervals.rr_series(beats)
-    split = intervals.rr_series(beats, share=0.01, floor=30)
-    assert whole.part_keys == ["record_id"] and split.part_keys == ["record_id", "part"]
-    parts = split.rows.filter("record_id = 'long'").select("part").distinct().count()
-    assert parts > 5
+    split = intervals.rr_series(beats, part_rows=30)
+    assert split.part_keys == ["record_id", "part"]
+    parts = split.rows.groupBy("part").count()
+    assert parts.count() > 10 and parts.agg({"count": "max"}).first()[0] <= 90
     one = whole.rows.select("record_id", "t", "rr_ms", "drr_ms", "turn")
     two = split.rows.select("record_id", "t", "rr_ms", "drr_ms", "turn")
     assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
