@@ -1,16 +1,18 @@
 """Evaluation of scores against binary labels, per dataset and overall.
 
-Rows are first reduced to counts per (dataset, score). Ranks come from running counts inside
-slices of the score range and the totals of the slices, so neither a large dataset nor the overall
-group is ever ordered in one task.
+Rows are first reduced to counts per (dataset, score). The counts are dealt out by ranges of dataset and
+score, so that a part holds about the same number of scores however they are spread. Ranks come from running
+counts inside the parts and the totals of the parts; no group is ever ordered in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from signalframe.operators.ordered import PART_ROWS, in_parts
+from signalframe.session import materialise
+
 OVERALL = "overall"
-SLICES = 1024
 # The inner edges of ten uniform bins as floating-point multiples of the step.
 INNER_EDGES = [i * 0.1 for i in range(1, 10)]
 
@@ -30,25 +32,25 @@ def _both_groupings(predictions: DataFrame) -> DataFrame:
     )
 
 
-def score_cells(predictions: DataFrame) -> DataFrame:
-    """Positive and negative counts per dataset, slice and distinct score."""
-    slot = F.least(F.greatest(F.floor(F.col("y_score") * SLICES), F.lit(0)), F.lit(SLICES - 1)).cast("int")
-    return (
+def score_cells(predictions: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Positive and negative counts per dataset and distinct score, with the ``part`` of the range they lie in."""
+    cells = (
         _both_groupings(predictions)
-        .groupBy("dataset", slot.alias("slot"), "y_score")
+        .groupBy("dataset", "y_score")
         .agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
     )
+    return in_parts(materialise(cells), "dataset", ["y_score"], part_rows)
 
 
 def _totals(predictions: DataFrame, threshold: float) -> DataFrame:
     s, pos, neg = F.col("y_score"), F.col("pos"), F.col("neg")
     hit = s >= threshold
-    inside = Window.partitionBy("dataset", "slot").orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("dataset", "part").orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    slots = (
+    parts = (
         score_cells(predictions)
         .withColumn("u", pos * (earlier + neg / 2))
-        .groupBy("dataset", "slot")
+        .groupBy("dataset", "part")
         .agg(
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
@@ -58,9 +60,9 @@ def _totals(predictions: DataFrame, threshold: float) -> DataFrame:
             F.sum(pos * (s - 1.0) * (s - 1.0) + neg * s * s).alias("squares"),
         )
     )
-    before = Window.partitionBy("dataset").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("dataset").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        slots.withColumn("u", F.col("u") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0)))
+        parts.withColumn("u", F.col("u") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0)))
         .groupBy("dataset")
         .agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "u", "tp", "fp", "squares")])
     )

@@ -97,12 +97,12 @@ def seeded_order(key: Column, seed: int) -> Column:
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(share * n)`` rows per label, chosen by a seeded order of the key.
 
-    Per label only the count of each of 4096 slices of the order is needed, then the rows of the one
+    Per label only the count of each of a million slices of the order is needed, then the rows of the one
     slice in which the quota is reached. The cut-off is one text per label; the rows themselves are
     never moved.
     """
     order = seeded_order(F.col(key), seed)
-    keyed = df.select(F.col(label).alias("_y"), order.alias("_o"), F.substring(order, 1, 3).alias("_slice"))
+    keyed = df.select(F.col(label).alias("_y"), order.alias("_o"), F.substring(order, 1, 5).alias("_slice"))
     slices = keyed.groupBy("_y", "_slice").agg(F.count(F.lit(1)).alias("n"))
     by_label = Window.partitionBy("_y")
     upto = F.sum("n").over(by_label.orderBy("_slice"))
