@@ -6,11 +6,11 @@ share the input arithmetic but not the way the result is reached.
 
 from __future__ import annotations
 
-from checks.bridges import CODES_SQL, FEATURE_SQL, LEVEL_SQL, RULE_SQL
+from checks.bridges import FEATURE_SQL, LEVEL_SQL, RULE_SQL
 from signalframe.functions.rules import INFARCT_TERRITORIES, ISCHEMIA_TERRITORIES, STEMI_TERRITORIES
 from signalframe.operators.dimensions import DATASETS
 from signalframe.operators.evaluation import INNER_EDGES
-from signalframe.schemas import FEATURES, LEAD_SPELLING, MORPHOLOGY_CODES, RHYTHM_CODES, STANDARD_LEADS, WORKING_LEAD_ORDER
+from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES, STANDARD_LEADS, WORKING_LEAD_ORDER
 from checks.synthetic import ABSENT, GAIN, GAP, PARAMETERS, ROUNDING, SHIFT, STEPS
 
 ORACLE: dict[str, str] = {}

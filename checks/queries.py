@@ -11,7 +11,7 @@ from checks import bridges
 from checks.bridges import table
 from signalframe.functions import beats as B, leads as L, quality as Q, rhythm as R, rules, spectrum as S
 from signalframe.functions.arrays import centre, let, median, moving_average, quantile_of_sorted, present
-from signalframe.functions.values import canonical_lead, code_map, comment_age, comment_sex, has_code, sex_code
+from signalframe.functions.values import code_map, comment_age, comment_sex, has_code, sex_code
 from signalframe.operators import (
     dimensions, evaluation, features, intervals, measurement as M, models, preprocessing, selection,
 )

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signalframe.functions import rules
-from signalframe.schemas import MORPHOLOGY_CODES, RHYTHM_CODES, WORKING_LEAD_ORDER
+from signalframe.schemas import MORPHOLOGY_CODES, RHYTHM_CODES
 
 # Dataset key, name, modality, native format, primary task, validation group, notes.
 DATASETS = [
@@ -53,10 +52,6 @@ def label_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "label_set string, code string")
 
 
-def lead_preference(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(WORKING_LEAD_ORDER)), "preference int, lead string")
-
-
 def territory_findings(
     lead_findings: DataFrame, groups: dict[str, list[str]], passes: Column, least: int = 2
 ) -> DataFrame:
@@ -84,8 +79,3 @@ def territory_findings(
         lambda l: l.isNotNull(),
     )
     return found.select("record_id", "territory", "lead_count", F.array_join(passed, ", ").alias("leads"))
-
-
-STEMI_TERRITORIES = rules.STEMI_TERRITORIES
-ISCHEMIA_TERRITORIES = rules.ISCHEMIA_TERRITORIES
-INFARCT_TERRITORIES = rules.INFARCT_TERRITORIES

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from signalframe.functions.arrays import cut, let, lets, mean, present
 from signalframe.functions.beats import milliseconds
-from signalframe.functions.values import clean, code_map, first_alias, has_code, sex_code
+from signalframe.functions.values import clean, code_map, first_alias, has_code
 from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, REPORTED_FEATURES
 
 MIN_BEATS = 3
@@ -185,9 +185,3 @@ def reported_features(value: Callable[[str], Column] = F.col) -> Column:
     return F.array(*[
         F.struct(F.lit(f).alias("feature"), value(f).alias("value")) for f in FEATURES if f in REPORTED_FEATURES
     ])
-
-
-def effective_demographics(form_age: Column, header_age: Column, form_sex: Column, header_sex: Column) -> tuple[Column, Column, Column]:
-    """Age and sex with the form over the header, and the sex code."""
-    sex = F.coalesce(form_sex, header_sex)
-    return F.coalesce(form_age, header_age), sex, sex_code(sex)

@@ -358,10 +358,10 @@ def ablation(table: DataFrame, key: str, label: str, groups: dict[str, list[str]
     """Held-out metrics of the logistic model on each group of inputs. One distributed fit per group."""
     split = materialise(stratified_split(table.select(key, *FEATURES, label), key, label, test_share, seed))
     fit_rows, held_out = split.filter(~F.col("is_test")), split.filter("is_test")
+    preparation = fit_preparation(fit_rows, list(FEATURES))
+    weight, n = balanced_weight(fit_rows, label)
     result = None
     for name, columns in groups.items():
-        preparation = fit_preparation(fit_rows, columns)
-        weight, n = balanced_weight(fit_rows, label)
         assemble = VectorAssembler(inputCols=[f"{c}__scaled" for c in columns], outputCol="scaled_vector")
 
         def ready(df: DataFrame) -> DataFrame:
