@@ -23,9 +23,9 @@ from signalframe.llm.common import column, materialise, rows, spaced_words
 from signalframe.llm.links import components, forest
 
 RADIUS = 4
-SHARD = 8192  # different fingerprints that a shard holds at the median
+SHARD = 1 << 20  # different fingerprints that a shard may hold before there are more than 2^MIN_DEPTH shards
 SAMPLES = 32  # fingerprints of the sample for each shard
-MAX_DEPTH = 14  # 16,384 shards: a tree of 256 kB, a sample of 4 MB
+MIN_DEPTH, MAX_DEPTH = 5, 14  # 32 to 16,384 shards: a tree of up to 256 kB, a sample of up to 4 MB
 VISITORS = 1_000_000  # of one shard in one task; more are split over several
 BLOCK = 256  # fingerprints that are compared with all their visitors at once
 
@@ -175,7 +175,7 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges between different fingerprints (column `bits`) that join exactly what links join."""
     spark = distinct.sparkSession
     n = distinct.count()
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(n, 1) / SHARD)))))
+    depth = int(min(MAX_DEPTH, max(MIN_DEPTH, np.ceil(np.log2(max(n, 1) / SHARD)))))
     wanted = SAMPLES << depth
     slot = F.pmod(F.xxhash64("bits"), F.lit(max(1, n // wanted)))
     found = distinct.where(slot == 0).orderBy(F.xxhash64("bits")).limit(4 * wanted).collect()  # bounded by MAX_DEPTH
