@@ -12,11 +12,13 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from signalframe.session import materialise, shared_dir
 
-__all__ = ["column", "kept", "lower_ascii", "materialise", "rows", "shared_dir", "spaced_words", "words"]
+__all__ = ["column", "kept", "lower_ascii", "materialise", "rows", "shared_dir", "spaced_words", "without", "words"]
 
 #: Rows that one call of a row function sees, in bytes of its text column.
 SLICE_BYTES = 8 << 20
 
+BROADCAST_IDS = 2_000_000
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WORD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -28,6 +30,16 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def without(df: DataFrame, id: str, dropped: DataFrame) -> DataFrame:
+    """The rows whose id is not in `dropped` (column `_id`); rows with a null id stay.
+
+    Up to BROADCAST_IDS ids are broadcast, about 64 MB, so that no text moves; more are joined by a shuffle.
+    """
+    dropped = materialise(dropped)
+    small = dropped.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(dropped) if small else dropped, column(id).cast("long") == F.col("_id"), "left_anti")
+
+
 def kept(name: str, make: Callable):
     """What `make` returned when this worker process first asked for it.
 

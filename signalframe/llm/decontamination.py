@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from signalframe.llm.common import column, materialise, words
+from signalframe.llm.common import column, materialise, without, words
 
 WIDTH = 10
 SEGMENT_WORDS = 1 << 20  # words of a segment; a longer document is one of its own
@@ -286,5 +286,5 @@ def contamination(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without an occurrence of a benchmark window; documents with a null id stay."""
-    bad = contamination(docs, benchmark, width, id, text).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, column(id).cast("long") == F.col("_id"), "left_anti")
+    bad = contamination(docs, benchmark, width, id, text).where("contaminated and doc_id is not null")
+    return without(docs, id, bad.select(F.col("doc_id").alias("_id")).distinct())

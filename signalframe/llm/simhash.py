@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from signalframe.llm.common import column, materialise, rows, spaced_words
+from signalframe.llm.common import column, materialise, rows, spaced_words, without
 from signalframe.llm.links import components, forest
 
 RADIUS = 4
@@ -235,13 +235,12 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", radius:
 
     Rows with a null id stay: nothing tells them apart.
     """
-    groups = near_duplicates(docs, id, text, radius)
-    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
-    kept = materialise(kept)
-    stay = docs.join(kept.where("n = 1"), column(id).cast("long") == F.col("_id"), "left_semi")
-    repeated = kept.where("n > 1")
-    if not repeated.isEmpty():
-        stay = stay.unionByName(
-            docs.join(repeated, column(id).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id])
-        )
-    return stay.unionByName(docs.where(column(id).isNull()))
+    groups = near_duplicates(docs, id, text, radius).where("doc_id is not null")
+    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    ids = materialise(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.max(own).alias("stays"), F.count("*").alias("n")))
+    stay = without(docs, id, ids.where("not stays").select("_id"))
+    repeated = ids.where("stays and n > 1").select("_id")
+    if repeated.isEmpty():
+        return stay
+    once = docs.join(repeated, column(id).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id])
+    return without(stay, id, repeated).unionByName(once)
