@@ -37,7 +37,7 @@ from signalframe.llm.common import column, kept, materialise, rows
 CAPACITY = 2048
 GROUPS = 48  # of equal cardinality, at most
 LARGE = (2, 3, 4)  # lengths above capacity / LARGE are grouped
-CACHE = 600_000  # words whose ids a worker keeps, the first that it meets: about 120 MB
+CACHE = 300_000  # words whose ids a worker keeps, the first that it meets: about 60 MB
 
 #: The rule by which the byte-level tokenizer cuts texts before it merges bytes (a fixed value).
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
