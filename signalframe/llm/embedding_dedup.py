@@ -29,6 +29,7 @@ STRIPE_ROWS = (256, 131_072)  # the larger is 64 MB of 64 doubles
 TILE = 1024
 ENERGY = (0.4, 0.7)  # shares of the squared lengths after which a tile's pairs are bounded
 MARGIN = 1e-4  # of the bounds, which are in single precision
+SMALL = 8_000_000  # numbers: a rare length that has fewer is compared whole in one task
 
 
 def _matrix(batch_column) -> np.ndarray:
@@ -169,6 +170,44 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sent.groupBy("i", "j").applyInPandas(compare, schema)
 
 
+def _compare_whole(classes: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """(cls, root, n) of all vectors of one length, without axes."""
+    x = np.stack(classes["embedding"].to_numpy()).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    names, sizes = classes["cls"].to_numpy(), classes["copies"].to_numpy()
+    root, links = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    for i in range(0, len(x), TILE):
+        for j in range(i, len(x), TILE):
+            u, v = np.nonzero(x[i: i + TILE] @ x[j: j + TILE].T >= threshold - MARGIN)
+            u, v = u[u + i < v + j] + i, v[u + i < v + j] + j
+            for at in range(0, len(u), TILE):
+                a, b = u[at: at + TILE], v[at: at + TILE]
+                near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                a, b = a[near], b[near]
+                np.add.at(links, a, sizes[b])
+                np.add.at(links, b, sizes[a])
+                root = forest(len(x), a, b, root)
+    any_ = links > 0
+    return pd.DataFrame({"cls": names[any_], "root": names[root[any_]], "n": links[any_]})
+
+
+def links_by_length(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """`class_links` among the vectors of each length; the lengths that hold little share one job."""
+    sized = classes.withColumn("d", F.size("embedding"))
+    lengths = sized.groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
+    weight = F.col("n") * F.col("d")
+    most = lengths.orderBy(weight.desc(), "d").limit(1).collect()
+    if not most:
+        return class_links(classes.limit(0), threshold)
+    # the most common length, and others of more than SMALL numbers: as few as the table has room for
+    large = sorted({r["d"] for r in most + lengths.where(weight > SMALL).collect()})
+    rare = sized.where(~F.col("d").isin(large))
+    out = rare.groupBy("d").applyInPandas(lambda x: _compare_whole(x, threshold), "cls long, root long, n long")
+    for d in large:
+        out = out.unionByName(class_links(sized.where(F.col("d") == d).drop("d"), threshold))
+    return out
+
+
 def near_duplicates(
     vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
     dimension: int | None = None,
@@ -178,22 +217,22 @@ def near_duplicates(
     Vectors with a cosine of `threshold` or more are linked. `n_links`: other rows linked directly, copies
     included; `component_id`: the smallest id reachable, its own included; `kept`: whether that is its own.
 
-    Vectors that are null, empty, zero, hold null or non-finite numbers, or have another dimension than
-    `dimension` (by default the longest's) link with nothing and are their own component. A null id is
-    never the smallest; a component of null ids has a null component_id, and such rows have a null `kept`.
+    Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing and are their
+    own component, as do those of another dimension than `dimension` where one is given. Without one,
+    vectors of every length are compared with those of their length. A null id is never the smallest; a
+    component of null ids has a null component_id, and such rows have a null `kept`.
     Repeated rows are copies; other columns are not read; no rows give no rows.
     """
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     base = vectors.select(column(id).cast("long").alias("vec_id"), column(embedding).alias("embedding"))
-    dimension = dimension or base.agg(F.max(F.size("embedding"))).first()[0] or 0
-    usable = F.coalesce(finite, F.lit(False)) & (F.size(v) == dimension)
+    usable = F.coalesce(finite, F.lit(False)) & (F.lit(True) if dimension is None else F.size(v) == dimension)
     base = base.select("vec_id", F.when(usable, v).alias("embedding"))
     classes = base.where("embedding is not null").groupBy("embedding").agg(
         F.min("vec_id").alias("first"), F.count("*").alias("copies")
     )
     classes = materialise(classes.withColumn("cls", F.monotonically_increasing_id()))
-    links = materialise(class_links(classes.select("cls", "embedding", "copies"), threshold))
+    links = materialise(links_by_length(classes.select("cls", "embedding", "copies"), threshold))
     groups = components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     per_class = links.groupBy("cls").agg(F.sum("n").alias("n"))
     known = classes.join(per_class, "cls", "left").join(groups.withColumnRenamed("node", "cls"), "cls", "left")

@@ -1,7 +1,7 @@
 """Components, SimHash and embedding links against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -155,3 +155,19 @@ def test_embeddings_without_rows_or_ids(spark):
     rows = embedding_dedup.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.01])], schema)).collect()
     assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in rows if r["vec_id"]) == [(4, 2, 4, True)] * 2
     assert defaultdict(int, {r["vec_id"]: r["n_links"] for r in rows})[None] == 2
+
+
+@pytest.mark.parametrize("small", [embedding_dedup.SMALL, 0])
+def test_vectors_link_within_every_length(spark, monkeypatch, small):
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
+    good = vectors()[:40]
+    every = [*good, *good[:4], [None] * 65, [0.0] * 65, [1.0] * 70, [1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [2.0, 4.0, 6.0], [3.0, -1.0, 0.0]]
+    every += [[float(i == j) for j in range(80)] for i in (0, 0, 1)]
+    frame = spark.createDataFrame(list(enumerate(every)), "vec_id long, embedding array<float>")
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    usable = [i for i, v in enumerate(every) if None not in v and any(v)]
+    pairs = [(a, b) for a in usable for b in usable if a < b and len(every[a]) == len(every[b]) and cosine(every[a], every[b]) >= 0.95]
+    want, n = groups(range(len(every)), pairs), Counter(i for p in pairs for i in p)
+    assert n[0] and n[len(good) + 7] and n[len(every) - 2]
+    got = embedding_dedup.near_duplicates(frame).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (n[i], want[i], want[i] == i) for i in range(len(every))}
