@@ -1,9 +1,12 @@
 """Secret scan: an assignment-aware lexer over source and configuration syntax.
 
 Texts are read as name-literal pairs wherever they assign: `name = "x"`, `name: x`, `"name": "x"`,
-`name := x`, `name => x`, `<name>x</name>`, `--name x`. A literal may be built with `+` from literals and names; names that
-were given a literal anywhere in the text stand for it. Every literal that reaches a name is scored by how
-sensitive the name's words are and how random the literal looks. Three fixed patterns are reported as well.
+`name := x`, `name => x`, `<name>x</name>`, `--name x`. Between name and operator there may be subscripts, the end
+of one (`c["name"] = "x"`), a type (`name: str = "x"`, `var name string = "x"`) or another name. A literal may
+have a prefix (`b"x"`), run over lines (triple quotes, backticks, a YAML block), be of any length, and be built with
+`+` from literals and names; names that were given a literal anywhere in the text stand for it. Every literal
+that reaches a name is scored by how sensitive the name's words are and how random the literal looks; a private
+key block is a secret under any name. Three fixed patterns are reported as well.
 """
 
 from __future__ import annotations
@@ -38,15 +41,31 @@ HARMLESS = {"public", "file", "path", "name", "id", "url", "type", "length", "si
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|changeme|example.*|your.*|test|dummy|none|null|true|false|todo|<.*>|\$\{.*\}|%\(.*\)s?|\{\{.*\}\})$", re.I)
 
 _GATE = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer|private|signature|salt|session|cookie|cert|access|encrypt|webhook|dsn|connection|pin", re.I)
+# Repetitions are possessive and of characters that end them, so a scan is linear in the text.
 _NAME = r"[A-Za-z_][\w.-]*"
-_LITERAL = r'''"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}\''''
+_PREFIX = r"(?:(?<!\w)(?:[A-Za-z]{1,2}|u8|b?r)\#*+|[@$]{1,2})?"
+_LITERAL = rf"""{_PREFIX}(?:"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+')"""
+_LITERALS = rf"(?:{_LITERAL}|{_NAME})(?:[ \t]*\+\s*+(?:{_LITERAL}|{_NAME}))*"
+_OPERATOR = r"[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+"
+_HEAD = rf"""(?P<quote>["']?)(?P<name>(?<![\w.-]){_NAME})(?P=quote)"""
+# a type, or another name, between a name and the `=` of its literal
+_TYPE = r"""(?:[^\s="'{}();:]|::|'\w++(?!')|(?<=[,|\[])[ \t]|[ \t](?=\|)|(?<='static)[ \t]|(?<=mut)[ \t])++"""
+_TYPED = rf"""(?P<type>[ \t]*+[:=](?![:=>/])[ \t]*+{_TYPE}|[ \t]++(?:[*&]|\[\w*+\])*+[A-Za-z_][\w.]*+)[ \t]*+=(?![=>])[ \t]*+"""
 _PAIR = re.compile(
-    rf"""(?P<quote>["']?)(?P<name>(?<![\w.-]){_NAME})(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*"""
-    rf"""(?P<value>(?:{_LITERAL}|{_NAME})(?:[ \t]*\+[ \t]*(?:{_LITERAL}|{_NAME}))*|[^\s"',;<>()\[\]{{}}]+)"""
+    rf"""{_HEAD}(?:{_OPERATOR}(?={_PREFIX}["'])|{_TYPED}(?={_PREFIX}["'])|{_OPERATOR})(?P<value>{_LITERALS}|[^\s"',;<>()\[\]{{}}]+)"""
 )
+# names inside subscripts do not start one, so a chain of them is read once
+_INDEX = rf"(?:(?<![\w.\-\[])(?P<name>{_NAME})|(?<=\)))(?P<subscripts>(?:\[[^\[\]\n]*+\])++)(?:{_TYPED}|{_OPERATOR})"
+_INDEXED = re.compile(rf"""{_INDEX}(?P<value>(?={_PREFIX}["']){_LITERALS})""")
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>")
 _FLAG = re.compile(rf"""(?<!\S)--(?P<name>{_NAME})[ \t]+(?P<value>{_LITERAL}|[^\s"'-][^\s"']*)""")
 _TERM = re.compile(rf"{_LITERAL}|{_NAME}")
+_LONG = _PREFIX + r"""(?:"{3}(?P<a>(?:[^"\\]|\\[\s\S]|"(?!""))*+)"{3}|'{3}(?P<b>(?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3}|`(?P<c>(?:[^`\\]|\\[\s\S])*+)`)"""
+_LINES = re.compile(rf"{_HEAD}(?:{_TYPED}|{_OPERATOR}){_LONG}"), re.compile(_INDEX + _LONG)
+_BLOCK = re.compile(rf"""(?P<indent>^[ \t]*+(?:-[ \t]++)*+){_HEAD}[ \t]*+:[ \t]++[|>][-+0-9]{{0,2}}[ \t]*+\r?\n""", re.M)
+_TYPE_NAMES = {"string", "str", "byte", "char", "rune"}
+_WORD = re.compile(_NAME)
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -74,7 +93,11 @@ def name_score(name: str) -> float:
 
 
 def literal_score(value: str) -> float:
-    """How random a literal looks: its length, its entropy and the kinds of characters it has."""
+    """How random a literal looks: its length, its entropy and the kinds of characters it has; lines are joined."""
+    if _KEY_BLOCK.search(value):
+        return 1.0
+    if "\n" in value:
+        value = "".join(line.strip().removesuffix("\\") for line in value.split("\n"))
     if len(value) < 6 or PLACEHOLDER.match(value) or re.search(r"\s", value):
         return 0.0
     counts = Counter(value)
@@ -86,21 +109,52 @@ def literal_score(value: str) -> float:
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str, list[str]]]:
     """(name, spans of its own literals, their text, names it takes over) of every assignment."""
     out = []
-    for pattern in (_PAIR, _ELEMENT, _FLAG):
+    for pattern in (_PAIR, *([_INDEXED] if "]" in text else []), _ELEMENT, _FLAG):
         for m in pattern.finditer(text):
             at, value = m.start("value"), m["value"]
             terms = list(_TERM.finditer(value))
-            quoted = [t for t in terms if t[0][0] in "\"'"]
+            quoted = [t for t in terms if t[0][-1] in "\"'"]
             if quoted:
-                spans = [(at + t.start() + 1, at + t.end() - 1) for t in quoted]
-                names = [t[0] for t in terms if t[0][0] not in "\"'"]
+                # the text between the quotes, without a prefix
+                spans = [(at + t.start() + t[0].index(t[0][-1]) + 1, at + t.end() - 1) for t in quoted]
+                names = [t[0] for t in terms if t[0][-1] not in "\"'"]
             else:
                 spans = [(at, at + len(value))]
                 names = [value] if re.fullmatch(_NAME, value) else []
-            out.append((m["name"], spans, "".join(text[a:b] for a, b in spans), names))
+            literal = "".join(text[a:b] for a, b in spans)
+            out += [(name, spans, literal, names) for name in _names(m)]
+    long = [p for p in _LINES if any(mark in text for mark in ('"""', "'''", "`"))]
+    for m in [m for p in long for m in p.finditer(text)]:
+        span = next(m.span(g) for g in "abc" if m[g] is not None)
+        out += [(name, [span], text[slice(*span)], []) for name in _names(m)]
+    for m in _BLOCK.finditer(text) if "|" in text or ">" in text else ():
+        at = end = m.end()
+        while at < len(text):  # lines that are indented further than the name
+            after = text.find("\n", at) + 1 or len(text)
+            line = text[at:after]
+            if line.strip():
+                if len(line) - len(line.lstrip(" \t")) <= len(m["indent"]):
+                    break
+                end = at + len(line.rstrip())
+            at = after
+        start = m.end() + len(text[m.end():end]) - len(text[m.end():end].lstrip())
+        out.append((m["name"], [(start, end)], text[start:end], []))
     return out
 
 
+def _names(m: re.Match) -> list[str]:
+    """What an assignment names: its name, and the words of its subscripts and of what stands before the `=`.
+
+    Words of subscripts and types get a colon before them: they are scored, but no later name means them.
+    """
+    groups = m.groupdict()
+    between = groups.get("type") or ""
+    mark = ":" if ":" in between else ""
+    more = [mark + w if w not in _TYPE_NAMES else ":" + w for w in _WORD.findall(between)]
+    more += [":" + w for w in _WORD.findall(groups.get("subscripts") or "")]
+    return [n for n in dict.fromkeys([groups["name"], *more]) if n]
+
+
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str, int]]:
     """(start, end, "named", start) of literals that a sensitive name is given, directly or through other names."""
     if not _GATE.search(text):
@@ -113,7 +167,7 @@ def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
         constants.setdefault(name, []).append(k)
     spans = set()
     for k, (name, own, value, names) in enumerate(found):
-        strength = name_score(name)
+        strength = 1.0 if _KEY_BLOCK.search(value) else name_score(name)
         if not strength:
             continue
         # the constants that the value names, theirs, and so on; each assignment once
