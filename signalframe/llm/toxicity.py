@@ -17,16 +17,17 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from signalframe.llm.common import column, rows, words
 
 SAMPLE = 12_000  # labelled documents that are read for fitting, at most; the same number at every size
-ENTRIES = 200  # of the mined lexicon, at most
 PREFIXES = (3, 4, 5, 6, 7, 8)  # characters
-SUPPORT = 0.015  # least share of the sample's toxic documents that an entry is in
+SUPPORT = 3  # least number of the sample's toxic documents that an entry is in, whatever their share
 PRECISION = 0.5  # least lower bound of the share of toxic documents among those with an entry
 THRESHOLD = 0.3
+CHUNK = 512  # documents whose signs are held as dense rows at once
 
 #: Words of abuse that vote whatever the labels say (fixed values).
 ABUSE = frozenset(
@@ -70,32 +71,33 @@ def _words(text: str | None) -> list[str]:
     return b" ".join(words(text)).decode("utf-8", "replace").split(" ") if text else []
 
 
-def mine(sample: DataFrame, entries: int = ENTRIES) -> list[str]:
-    """The signs that are in most toxic documents of the sample, among those that are precise enough.
+def mine(sample: DataFrame) -> list[str]:
+    """All signs that are in SUPPORT or more toxic documents of the sample and are precise enough.
 
-    Of signs that begin alike and are in as many documents only the shortest is kept.
+    Of signs that are in the same documents one is left out only where the beginning of words that covers it stays.
     """
     def count(batch):
-        seen, toxic = Counter(), Counter()
-        for body, label in zip(batch["text"], batch["label"]):
+        seen, toxic, where = Counter(), Counter(), Counter()
+        for id, body, label in zip(batch["doc_id"], batch["text"], batch["label"]):
             own = signs(_words(body))
             seen.update(own)
+            # sums of 48 bits stay in a long; equal sums are equal sets of documents
+            mark = xxhash.xxh64_intdigest(str(id)) >> 16
+            for s in own:
+                where[s] += mark
             if label:
                 toxic.update(own)
-        yield {"sign": list(seen), "n": list(seen.values()), "toxic": [toxic[s] for s in seen]}
+        yield {"sign": list(seen), "n": list(seen.values()), "toxic": [toxic[s] for s in seen], "docs": [where[s] for s in seen]}
 
-    counted = rows(sample, count, "sign string, n long, toxic long").groupBy("sign").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    total = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n")).first()["n"]
+    counted = rows(sample.select("doc_id", "text", "label"), count, "sign string, n long, toxic long, docs long")
+    counted = counted.groupBy("sign").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "docs")])
     p, z = F.col("toxic") / F.col("n"), 1.64
     bound = (p + z * z / (2 * F.col("n")) - z * F.sqrt((p * (1 - p) + z * z / (4 * F.col("n"))) / F.col("n"))) / (1 + z * z / F.col("n"))
-    good = counted.where(F.col("toxic") >= max(3, math.ceil(SUPPORT * total))).where(bound >= PRECISION)
-    found = good.orderBy(F.desc("toxic"), F.desc(bound), "sign").limit(10 * entries).collect()
-    kept: dict[tuple, str] = {}
-    for r in found:
-        key = (r["sign"][:3], r["n"], r["toxic"])
-        if key not in kept or len(r["sign"]) < len(kept[key]):
-            kept[key] = r["sign"]
-    return list(kept.values())[:entries]
+    good = counted.where(F.col("toxic") >= SUPPORT).where(bound >= PRECISION)
+    found = good.orderBy(F.desc("toxic"), F.desc(bound), "sign").collect()  # bounded by the sample
+    same = {(r["docs"], r["sign"]) for r in found}
+    covered = lambda r: any((r["docs"], r["sign"][:k] + "*") in same for k in PREFIXES if len(r["sign"].rstrip("*")) > k)
+    return [r["sign"] for r in found if not covered(r)]
 
 
 @dataclass
@@ -133,7 +135,7 @@ class Lexicon:
     def votes(self, found: np.ndarray) -> np.ndarray:
         """1 where a voter finds its sign: a word at all, a pattern once in 100 words or more."""
         least = np.where(np.arange(self.voters) <= len(self.mined), 1e-9, 1.0)
-        return (found[:, :-1] >= least).astype(float)
+        return (found[:, :-1] >= least).astype(np.float32)
 
     def features(self, found: np.ndarray) -> np.ndarray:
         """Inputs of the classifier: votes, and the density of all lexicon hits."""
@@ -141,7 +143,8 @@ class Lexicon:
         lengths = np.maximum(found[:, -1], 1)
         votes = self.votes(found)
         lexicon = votes[:, : len(self.mined) + 1]
-        return np.column_stack([votes, np.log1p(hits), np.log1p(1000 * hits / lengths), lexicon.sum(axis=1) == 0, np.log1p(lengths) / 10])
+        more = [np.log1p(hits), np.log1p(1000 * hits / lengths), lexicon.sum(axis=1) == 0, np.log1p(lengths) / 10]
+        return np.column_stack([votes, *(m.astype(np.float32) for m in more)])
 
 
 @dataclass
@@ -158,12 +161,16 @@ class LabelModel:
         posterior = labels.astype(float)
         prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
         model = LabelModel(np.full((2, votes.shape[1]), 0.5), np.ones(votes.shape[1]), prior)
+        together = (votes.T @ votes).astype(float)
         for _ in range(rounds if len(votes) else 0):
             for k, part in enumerate((1 - posterior, posterior)):
                 model.rate[k] = (part @ votes + 0.5) / (part.sum() + 1)
-            residual = votes - ((1 - posterior)[:, None] * model.rate[0] + posterior[:, None] * model.rate[1])
-            spread = np.sqrt((residual ** 2).mean(axis=0)) + 1e-9
-            correlation = (residual.T @ residual) / max(len(votes), 1) / np.outer(spread, spread)
+            # products of what the posterior leaves unexplained, votes - part @ rate, without a row for each document
+            part = np.column_stack([1 - posterior, posterior])
+            shared = np.vstack([part[:, k] @ votes for k in (0, 1)]).T @ model.rate
+            residual = (together - shared - shared.T + model.rate.T @ (part.T @ part) @ model.rate) / len(votes)
+            spread = np.sqrt(np.maximum(np.diag(residual), 0)) + 1e-9
+            correlation = residual / np.outer(spread, spread)
             model.weight = 1 / np.maximum(1, np.where(correlation > 0.1, correlation, 0).sum(axis=1))
             new = anchor * labels + (1 - anchor) * model.posterior(votes)
             if np.abs(new - posterior).max(initial=0) < 1e-4:
@@ -174,18 +181,22 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         for_ = np.log(self.rate[1] / self.rate[0]) * self.weight
         against = np.log((1 - self.rate[1]) / (1 - self.rate[0])) * self.weight
-        z = math.log(self.prior / (1 - self.prior)) + votes @ for_ + (1 - votes) @ against
+        z = math.log(self.prior / (1 - self.prior)) + against.sum() + votes @ (for_ - against)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights (the last is the intercept) of a logistic regression on probabilities, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    weights = np.zeros(x.shape[1])
-    penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-3])
+    weights = np.zeros(x.shape[1] + 1)
+    penalty = np.diag([ridge] * x.shape[1] + [1e-3])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (target - p) - penalty @ weights)
+        slope, curve = -penalty @ weights, penalty.copy()
+        for at in range(0, len(x), CHUNK):
+            part = np.column_stack([x[at: at + CHUNK], np.ones(len(x[at: at + CHUNK]))]).astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ weights, -30, 30)))
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (target[at: at + CHUNK] - p)
+        step = np.linalg.solve(curve, slope)
         weights += step
         if np.abs(step).max() < 1e-6:
             break
@@ -198,6 +209,10 @@ class Model:
     labels: LabelModel
     weights: np.ndarray
 
+    def of(self, texts: list[str | None]) -> np.ndarray:
+        parts = (texts[at: at + CHUNK] for at in range(0, len(texts), CHUNK))
+        return np.concatenate([np.zeros(0), *(self.score(np.array([self.lexicon.found(t) for t in part])) for part in parts)])
+
     def score(self, found: np.ndarray) -> np.ndarray:
         x = self.lexicon.features(found)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
@@ -213,20 +228,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
         lexicon = Lexicon(mine(known))
 
         def look(batch):
-            yield {"label": batch["label"], "found": [lexicon.found(t) for t in batch["text"]]}
-
-        seen = rows(known, look, "label int, found array<double>").collect()  # `sample` rows at most
+            at, value = [], []
+            for body in batch["text"]:
+                found = lexicon.found(body)
+                at.append(np.flatnonzero(found).tolist())
+                value.append(found[at[-1]].tolist())
+            yield {"label": batch["label"], "at": at, "value": value}
+
+        seen = rows(known, look, "label int, at array<int>, value array<double>").collect()  # `sample` rows at most
     finally:
         known.unpersist()
-    found = np.array([r["found"] for r in seen], dtype=float).reshape(-1, lexicon.voters + 1)
-    target = np.array([r["label"] for r in seen], dtype=float)
     # the order of rows differs from run to run, sums of doubles would too
-    order = np.lexsort(np.column_stack([found, target]).T) if len(found) else []
-    found, target = found[order], target[order]
-    votes = lexicon.votes(found)
+    seen.sort(key=lambda r: (r["at"], r["value"], r["label"]))
+    target = np.array([r["label"] for r in seen], dtype=float)
+    found = np.zeros((len(seen), lexicon.voters + 1))
+    for k, r in enumerate(seen):
+        found[k, r["at"]] = r["value"]
+    votes, x = lexicon.votes(found), lexicon.features(found)
+    del found, seen
     model = LabelModel.fit(votes, target)
     soft = 0.5 * target + 0.5 * model.posterior(votes)
-    weights = fit_linear(lexicon.features(found), soft)
+    weights = fit_linear(x, soft)
     weights[-1] -= 0.0 if len(target) else 30.0
     return Model(lexicon, model, weights)
 
@@ -234,8 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) for every row, from its whole text; null and empty texts have no signs; repeated rows stay."""
     def run(batch):
-        found = np.array([model.lexicon.found(t) for t in batch["text"]])
-        yield {"doc_id": batch["doc_id"], "score": model.score(found)}
+        yield {"doc_id": batch["doc_id"], "score": model.of(batch["text"])}
 
     return rows(docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text")), run, "doc_id long, score double")
 
@@ -245,8 +266,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
     names = docs.columns
 
     def run(batch):
-        found = np.array([model.lexicon.found(t) for t in batch[text]])
-        keep = np.flatnonzero(model.score(found) < threshold)
+        keep = np.flatnonzero(model.of(batch[text]) < threshold)
         yield {c: [batch[c][i] for i in keep] for c in names}
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

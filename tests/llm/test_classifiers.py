@@ -105,3 +105,20 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs, trees).count() == 124 and quality.score(docs.limit(0), trees).count() == 0
     assert quality.statistics(None) == quality.statistics("") == [0.0] * len(quality.NAMES)
     assert all(np.isfinite(quality.statistics(t)).all() for t in (" ", "\n", "a", "!", "é" * 100_000))
+
+
+def test_rare_signs_vote_whatever_their_share(spark):
+    texts = ["hatefulword in plain text" for _ in range(500)] + ["calm plain text in prose" for _ in range(500)]
+    for word, at in (("strumfo", 0), ("strelki", 4), ("żółwiak", 8)):  # alike in their beginnings and counts
+        texts[at:at + 4] = [f"plain text {word}"] * 4
+    texts[12:16] = ["plain text braxo druzno"] * 4  # two words of the same documents
+    extra = [f"plain manyword{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(260) for _ in range(4)]
+    extra = [t.replace("manyword", f"{chr(97 + k // 4 % 26)}{chr(97 + k // 104)}q") for k, t in enumerate(extra)]
+    docs = spark.createDataFrame(list(enumerate(texts + extra)), "doc_id long, text string")
+    labels = docs.select("doc_id", ((F.col("doc_id") < 500) | (F.col("doc_id") >= 1000)).cast("int").alias("toxic"))
+    mined = set(toxicity.mine(toxicity.labelled_sample(docs, labels, "toxic", 10_000)))
+    assert all(toxicity.signs([w]) & mined for w in ("strumfo", "strelki", "żółwiak", "braxo", "druzno", "hatefulword"))
+    assert all(toxicity.signs([t.split()[1]]) & mined for t in extra)
+    assert not toxicity.signs(["calm", "prose"]) & mined
+    # a beginning stands for longer ones of the same documents
+    assert "hat*" in mined and "hate*" not in mined and "strumfo" not in mined
