@@ -4,8 +4,8 @@ Voters are lexicons and patterns. A lexicon entry is a word, or a beginning of w
 toxic documents of a labelled sample and rare elsewhere; each is a voter of its own. Patterns vote on style.
 The label model gives each voter a rate of voting in toxic and in clean documents, and estimates from what
 the posterior leaves unexplained how far voters are correlated; correlated voters share their weight. It is
-fitted by expectation and maximisation, anchored by the labels. The classifier then learns the posteriors
-from counts of the same signs, and only it scores documents.
+fitted by expectation and maximisation, anchored by the labels. The classifier then learns the mean of label
+and posterior from counts of the same signs, and only it scores documents.
 """
 
 from __future__ import annotations
