@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from signalframe.llm import (
-    decontamination, embedding_dedup, licenses, packing, quality, secrets, sharding, simhash, toxicity, url_filter,
+    bpe, decontamination, embedding_dedup, hard_negatives, licenses, packing, quality, ranked_search, secrets, sharding, simhash, toxicity,
+    url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,8 +108,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every seventh row the label is changed; every hundredth row is an anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), decoded=True)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filter, op2_toxicity, op3_simhash, op4_packing, op5_embedding_dedup, op6_decontamination, op7_licenses, op8_secrets, op9_quality, op10_sharding,
+    op11_hard_negatives, op12_bpe, op13_ranked_search,
 )}
 
 _FITS = " OR ".join(
@@ -116,6 +137,9 @@ _FITS = " OR ".join(
     for _, host, path in RULES
 )
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
 ORACLE: dict[str, str] = {
     "op1_url_filter": f"""
         WITH u AS (
@@ -138,4 +162,37 @@ ORACLE: dict[str, str] = {
         SELECT page_id, host, path, won.rule AS rule,
                coalesce(won.verdict, CASE WHEN in_list THEN 'block' ELSE 'allow' END) AS verdict, canonical, in_list FROM w
     """,
+    "op11_hard_negatives": """
+        WITH e AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
+    "op13_ranked_search": f"""
+        WITH t AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL),
+        s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+        m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM n, s),
+        q AS (SELECT item_id, {_TERMS} AS term FROM benchmark),
+        c AS (SELECT item_id, term, count(*) AS q FROM q GROUP BY ALL),
+        r AS (
+          SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM c JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM r QUALIFY rank <= 20
+    """,
 }
