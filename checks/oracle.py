@@ -707,3 +707,12 @@ ORACLE["P9_dead_letters"] = f"""{BASE} SELECT 'records/' || k AS stem, CASE WHEN
 FROM par WHERE k % 14 NOT IN (3, 5) AND k % 11 = 0"""
 ORACLE["O6_first_pair"] = "SELECT min('records/' || c_custkey) AS stem FROM customer WHERE c_custkey % 14 NOT IN (3, 5)"
 ORACLE["T1_arrivals"] = ORACLE["A10_qrs_duration"]
+
+# --- the same results by another way of the data -----------------------------------------------
+
+for ours, sql in {
+    "S1_pairs_of_files": "S1_record_pairs", "J1_unpaired_of_files": "J1_unpaired_files", "S2_records_of_files": "S2_decoded_leads",
+    "S3_metadata_of_files": "S3_record_metadata", "P9_dead_letters_of_files": "P9_dead_letters", "A22_ptfv1_stored": "A22_ptfv1_batch",
+    "A23_morphology_stored": "A23_batch_morphology", "J2_feature_table_stored": "J2_feature_table", "W4_long_records": "W4_qrs_peaks",
+}.items():
+    ORACLE[ours] = ORACLE[sql]

@@ -13,13 +13,13 @@ from signalframe.functions import beats as B, leads as L, quality as Q, rhythm a
 from signalframe.functions.arrays import centre, let, median, moving_average, quantile_of_sorted, present
 from signalframe.functions.values import code_map, comment_age, comment_sex, has_code, sex_code
 from signalframe.operators import (
-    dimensions, evaluation, features, intervals, measurement as M, models, preprocessing, selection,
+    dimensions, evaluation, features, intervals, long_records, measurement as M, models, preprocessing, selection,
 )
 from signalframe.plans import analyse, feature_job
-from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES
-from signalframe.session import settle, shared_dir
+from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES, STANDARD_LEADS
+from signalframe.session import materialise, settle, shared_dir
 from checks import encode, synthetic
-from signalframe.sources import tables, wfdb
+from signalframe.sources import record_source, tables, wfdb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -278,6 +278,12 @@ def qrs_peaks(spark, sf):
     return M.beats(bridges.detected(spark, sf)).select("record_id", "r_idx")
 
 
+@query("W4_long_records")
+def long_record_peaks(spark, sf):
+    chunks = long_records.cut(M.select_lead(synthetic.records(spark, sf)).select("record_id", "fs", "x"), "x", 250)
+    return long_records.detect_peaks(materialise(chunks))
+
+
 @query("W5_first_beats")
 def first_beats(spark, sf):
     return M.beats(bridges.detected(spark, sf)).filter(F.col("beat_no") < 12)
@@ -856,6 +862,31 @@ def feature_table(spark, sf):
     return rounded(feature_job.build(_metadata(spark, sf), records, bridges.delineation(spark, sf)))
 
 
+# The same from records stored by key: their samples stay where they lie.
+
+
+def _stored_by_record(spark, sf) -> DataFrame:
+    path = _fresh(spark, "by-record")
+    tables.save_by_record(synthetic.records(spark, sf, ["I", "II", "aVF", "V1"]), path, buckets=16)
+    return tables.read_by_record(spark, path)
+
+
+@query("A22_ptfv1_stored")
+def ptfv1_stored(spark, sf):
+    measured = features.morphology(_stored_by_record(spark, sf), bridges.delineation(spark, sf))
+    return rounded(measured.select("record_id", "ptfv1_mv_ms"))
+
+
+@query("A23_morphology_stored")
+def morphology_stored(spark, sf):
+    return rounded(features.morphology(_stored_by_record(spark, sf), bridges.delineation(spark, sf)).drop("ptfv1_mv_ms"))
+
+
+@query("J2_feature_table_stored")
+def feature_table_stored(spark, sf):
+    return rounded(feature_job.build(_metadata(spark, sf), _stored_by_record(spark, sf), bridges.delineation(spark, sf)))
+
+
 @query("J2_unmatched")
 def unmatched(spark, sf):
     usable = tables.usable_metadata(_metadata(spark, sf))
@@ -1004,6 +1035,65 @@ def first_pair(spark, sf):
     return wfdb.find_pairs(_files(spark, sf)).select("stem").orderBy("stem").limit(1)
 
 
+# The same from files in a folder, through the data source.
+
+
+def _written(spark, sf, files: DataFrame | None = None) -> str:
+    folder = _fresh(spark, "record-files")
+    encode.write_files(_files(spark, sf) if files is None else files, folder)
+    return folder
+
+
+def _below(folder: str, path: Column) -> Column:
+    """A path without the folder."""
+    return F.regexp_extract(path, r"(records/[^/]*)$", 1)
+
+
+@query("S1_pairs_of_files")
+def pairs_of_files(spark, sf):
+    folder = _written(spark, sf)
+    pairs = record_source.complete(record_source.read_records(spark, folder, signals=False))
+    return pairs.select("record_id", *[_below(folder, F.col(c)).alias(c) for c in ("header_path", "signal_path")])
+
+
+@query("J1_unpaired_of_files")
+def unpaired_of_files(spark, sf):
+    folder = _written(spark, sf)
+    return record_source.unpaired(record_source.read_records(spark, folder, signals=False)).select(
+        _below(folder, F.col("path")).alias("path"), "error"
+    )
+
+
+@query("S2_records_of_files")
+def records_of_files(spark, sf):
+    stems = record_source.complete(record_source.read_records(spark, _written(spark, sf), partition_bytes=4 << 20))
+    readable, _ = wfdb.split_readable(stems)
+    leads = M.leads_long(wfdb.to_records(readable, STANDARD_LEADS, "ptbxl"))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return rounded(
+        leads.select("record_id", "lead", "fs", "n", total.alias("total_mv"), F.size(present(F.col("samples"))).alias("present")), 3
+    )
+
+
+@query("S3_metadata_of_files")
+def metadata_of_files(spark, sf):
+    stems = record_source.complete(record_source.read_records(spark, _written(spark, sf), signals=False))
+    readable, _ = wfdb.split_readable(stems)
+    return rounded(wfdb.record_metadata(readable).select(
+        "record_id", "sampling_frequency", "number_of_leads", F.array_join("lead_names", ",").alias("lead_names"), "duration_seconds"
+    ))
+
+
+@query("P9_dead_letters_of_files")
+def dead_letters_of_files(spark, sf):
+    files = _files(spark, sf)
+    key = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
+    cut = F.col("path").endswith(".dat") & (key % 11 == 0)
+    folder = _written(spark, sf, files.withColumn("content", F.when(cut, F.substring(F.col("content"), 1, 1001)).otherwise(F.col("content"))))
+    _, errors = wfdb.split_readable(record_source.complete(record_source.read_records(spark, folder, signals=False)))
+    return errors.select(_below(folder, F.col("stem")).alias("stem"), "error")
+
+
 # --- models (no SQL counterpart) ---------------------------------------------------------------
 
 

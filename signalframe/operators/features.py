@@ -68,9 +68,11 @@ def terminal_force(v1: Column, waves: Column, fs: Column) -> Column:
 def morphology(records: DataFrame, delineation: DataFrame) -> DataFrame:
     """The seven batch measurements; all NULL below three beats.
 
-    The beats of a record travel to its row, not its samples to the beats.
+    The beats of a record travel to its row, not its samples to the beats: records stored by
+    :func:`signalframe.sources.tables.save_by_record` are read in place, and neither they nor any others
+    are sorted, as each task holds the few beats of its records in a table.
     """
-    joined = records.join(delineation_arrays(delineation), "record_id", "left")
+    joined = records.join(delineation_arrays(delineation).hint("shuffle_hash"), "record_id", "left")
     w, fs = F.col("waves"), F.col("fs")
     beats = F.transform(w, lambda b: b["r_idx"])
     measured = joined.select(

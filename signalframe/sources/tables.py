@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from signalframe.functions.values import clean
 from signalframe.schemas import FEATURE_TABLE, FEATURES, PREDICTIONS, RECORD_METADATA, TARGET_NAMES
@@ -73,17 +76,82 @@ def read_feature_table(spark: SparkSession, path: str, target: str | None = None
     return df, name
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and a function from texts to its paths."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    return named(path).getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
+def _exchange(spark: SparkSession, staged: str, path: str, overwrite: bool) -> None:
+    """Put the staged folder in the place of ``path`` by renaming; what stood there goes last."""
+    system, named = _file_system(spark, path)
+    old = None
+    if system.exists(named(path)):
+        if not overwrite:
+            raise FileExistsError(f"There is a table already: {path}")
+        old = named(f"{path}.old-{uuid.uuid4().hex}")
+        if not system.rename(named(path), old):
+            raise RuntimeError(f"Could not set the old table aside: {path}")
+    if not system.rename(named(staged), named(path)):
+        if old is not None:
+            system.rename(old, named(path))
+        raise RuntimeError(f"Could not move the new table to its place: {path}")
+    if old is not None:
+        system.delete(old, True)
+
+
 def save_checked(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = True) -> int:
-    """Write, then count what can be read back; an empty table is an error. The table is computed once."""
-    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
-    (writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path))
-    reader = df.sparkSession.read
-    rows = (reader.option("header", True).csv(path) if fmt == "csv" else reader.schema(df.schema).format(fmt).load(path)).count()
-    if not rows:
-        raise RuntimeError("Table is empty; nothing was saved.")
+    """Save the table wholly or not at all, and return its rows; an empty one is an error.
+
+    It is written beside its place and counted there; only when that is done and there are rows does it take
+    the place of the old table, which no failure before that touches. (An observed count would save the look at
+    the footers, but a session that has observed once can no longer apply a freshly fitted logistic model.)
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    system, named = _file_system(spark, path)
+    if not overwrite and system.exists(named(path)):
+        raise FileExistsError(f"There is a table already: {path}")
+    staged, reader = f"{path}.new-{uuid.uuid4().hex}", spark.read
+    try:
+        (df.write.option("header", True).csv(staged) if fmt == "csv" else df.write.format(fmt).save(staged))
+        rows = (reader.option("header", True).csv(staged) if fmt == "csv" else reader.schema(df.schema).format(fmt).load(staged)).count()
+        if not rows:
+            raise RuntimeError("Table is empty; nothing was saved.")
+        _exchange(spark, staged, path, overwrite)
+    finally:
+        if system.exists(named(staged)):
+            system.delete(named(staged), True)
     return rows
 
 
+BUCKETS = 1024
+
+
+def save_by_record(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write records so that those of one key hash lie in one file, as :func:`read_by_record` reads them.
+
+    The samples are dealt out here, once; every later join or aggregation on ``record_id`` reads its share
+    of them in place. A bucket should fit a task: choose so many that one holds a few GB at most.
+    """
+    spark, table = df.sparkSession, f"by_record_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, "record_id")
+    dealt.write.format("parquet").bucketBy(buckets, "record_id").option("path", f"{path}/rows").saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")  # the catalogue's entry; the files stay
+    layout = json.dumps({"buckets": buckets, "schema": df.schema.json()})
+    spark.createDataFrame([(layout,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
+
+
+def read_by_record(spark: SparkSession, path: str) -> DataFrame:
+    """Records that :func:`save_by_record` has written; Spark knows by which key they lie together."""
+    layout = json.loads(spark.read.text(f"{path}/layout").first()["value"])
+    table = f"by_record_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(layout["schema"])))
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (record_id) INTO {layout['buckets']} BUCKETS LOCATION '{path}/rows'"
+    )
+    return spark.table(table)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Scores and labels; patient and dataset are optional."""
     raw = spark.read.option("header", True).csv(path)

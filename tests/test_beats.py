@@ -145,6 +145,70 @@ def test_long_record_detection_equals_in_row_detection(spark):
     assert got == want
 
 
+def fast_signal(seed, fs, seconds, rate):
+    """A noisy record with beats so close that every candidate lies within the refractory time of another."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(scale=0.15, size=seconds * fs)
+    for at in np.arange(fs // 3, len(x) - fs // 3, 60 * fs / rate) + rng.integers(-fs // 30, fs // 30 + 1):
+        x[int(at) - 2: int(at) + 3] += [0.3, 0.8, 1.5, 0.7, 0.2]
+    return np.round(x, 3)
+
+
+@pytest.mark.parametrize("fs, rate, size", [(100, 160, 61), (100, 220, 250), (250, 200, 130), (64, 300, 40), (500, 180, 1700)])
+def test_long_records_with_close_beats_and_gaps(spark, monkeypatch, fs, rate, size):
+    monkeypatch.setattr(long_records, "POINTS", 4)
+    monkeypatch.setattr(long_records, "INSIDE", 20)
+    rows = []
+    for seed in range(5):
+        x = fast_signal(seed, fs, 12, rate).tolist()
+        if seed == 1:
+            x[3 * fs: 3 * fs + fs // 2] = [None] * (fs // 2)
+        if seed == 2:
+            x = [0.5] * len(x)
+        if seed == 3:
+            x = x[: size * 3 + 1]  # the last chunk holds one sample
+        rows.append((f"r{seed}", float(fs), x))
+    df = spark.createDataFrame([*rows, ("none", float(fs), [None] * 900)], SCHEMA)
+    whole = df.withColumn("c", centre(F.col("x"))).select("record_id", B.detect_peaks(F.col("c"), F.col("fs")).alias("p"))
+    want = {r.record_id: r.p for r in whole.collect()}
+    got: dict = {k: [] for k in want}
+    for r in long_records.detect_peaks(long_records.cut(df, "x", size)).orderBy("record_id", "r_idx").collect():
+        got[r.record_id].append(r.r_idx)
+    assert got == want and sum(map(len, want.values())) > 30
+
+
+def test_median_of_long_records(spark, monkeypatch):
+    monkeypatch.setattr(long_records, "POINTS", 3)
+    monkeypatch.setattr(long_records, "INSIDE", 5)
+    rng = np.random.default_rng(4)
+    rows = [(f"m{i}", 100.0, v) for i, v in enumerate([
+        rng.normal(size=500).tolist(), rng.integers(0, 4, 301).astype(float).tolist(), [2.0] * 77, [1.0, 3.0], [None, 5.0, None],
+        np.repeat([1.0, 2.0], 60).tolist(), (rng.normal(size=200) * 1e-200).tolist(),
+    ])]
+    got = {r.record_id: r.median for r in long_records.record_median(long_records.cut(spark.createDataFrame(rows, SCHEMA), "x", 20)).collect()}
+    for name, _, x in rows:
+        v = sorted(y for y in x if y is not None)
+        low, high = v[(len(v) - 1) // 2], v[len(v) // 2]
+        assert got[name] == low + (high - low) * 0.5, name
+
+
+def test_states_compose_to_the_plain_walk():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        fs = float(rng.choice([30, 100, 250]))
+        _, reach, wait, _ = long_records._sizes(fs)
+        n = int(rng.integers(50, 400))
+        at = np.flatnonzero(rng.random(n) < rng.choice([0.05, 0.4, 0.9]))
+        peak = np.maximum(0, at + rng.integers(-reach, reach, len(at))) if len(at) else at
+        edges = [0, *sorted(rng.choice(np.arange(1, n), 6, replace=False).tolist()), n]
+        state, got = -wait, []
+        for a, b in zip(edges, edges[1:]):
+            own = (at >= a) & (at < b)
+            got += long_records.walk(at[own], peak[own], a + state, fs)
+            state = int(long_records.transitions(at[own], peak[own], (a, b), fs)[state + wait])
+        assert got == long_records.walk(at, peak, -wait, fs)
+
+
 def test_synthetic_peaks_are_found(spark):
     customers = spark.range(40).selectExpr("id AS c_custkey", "'X' AS c_mktsegment", "0 AS c_nationkey")
     found = M.detect_beats(synthetic.waveforms(customers, ["II"]), "II").filter("k % 23 NOT IN (7, 8) AND k % 11 != 4")
