@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import ahocorasick
 import numpy as np
@@ -28,11 +29,12 @@ from signalframe.llm.common import column, kept, rows
 
 SLICE = 1 << 20  # bytes of text that are encoded at once
 PAIRS = 1 << 20  # answers about pairs that a worker keeps; these three change speed and memory only
-WORDS = 1 << 17  # encoded words that a worker keeps, and as many that it has kept before
+WORDS = 1 << 18  # encoded words that a worker keeps, and as many that it has kept before
 WORD = 64  # longest such word
 IDS = 1 << 16  # decoded at once
 
 _NEVER = 1 << 62
+_COMPOSING = re.compile("[^\x00-\u02ff]")  # below are no combining characters
 
 
 def _byte_letters() -> dict[str, int]:
@@ -141,8 +143,9 @@ class Merges:
 class Codec:
     """Encodes and decodes texts as a byte-level vocabulary file with word ends says.
 
-    The file's normaliser is asked for whatever is not ASCII, and its splitter for texts with characters that the
-    pattern module classes otherwise, as the two follow different editions of Unicode.
+    The library's normaliser is asked for texts with characters from U+0300 on, and its splitter for texts with
+    characters that the pattern module classes otherwise, as the two follow different editions of Unicode. Below
+    U+0300 lower-casing is all that the normaliser does to a word, which is checked when the tables are built.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -156,6 +159,8 @@ class Codec:
         self.merges = Merges(model["vocab"], model["merges"], self.suffix)
         self.library = Tokenizer.from_str(vocabulary)
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        ascii_form = split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        self.ascii_pattern = self.pattern if r"\p" in ascii_form else re.compile(ascii_form, re.ASCII)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("Only added tokens that stand as they are are read.")
@@ -163,6 +168,10 @@ class Codec:
         self.words: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
         self.agreed: set[str] = set()
+        same = lambda c: self.library.normalizer.normalize_str(c) == c.lower() or c.isspace()
+        self.lowers = all(same(chr(i)) for i in range(0x300))
+        if any(self.ascii_pattern.findall(f"a{chr(i)}{chr(i)}!") != self._split(f"a{chr(i)}{chr(i)}!") for i in range(128)):
+            self.ascii_pattern = self.pattern
         self.letters = {chr(b): letter for letter, b in _byte_letters().items()}
         names = {i: t for t, i in (model["vocab"] | self.special).items()}
         text = [(names[i] + " ").encode() if i in names else b"" for i in range(max(names) + 1)]
@@ -182,7 +191,9 @@ class Codec:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _words(self, text: str) -> list[str]:
-        text = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+        text = text.lower() if self.lowers and not _COMPOSING.search(text) else self.library.normalizer.normalize_str(text)
+        if text.isascii():
+            return self.ascii_pattern.findall(text)
         strange = set(text) - self.agreed
         if strange and not all([self._agrees(c) for c in strange]):
             return self._split(text)
