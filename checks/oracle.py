@@ -642,9 +642,10 @@ ORACLE["M2_median_impute"] = MED + f"SELECT k, {r6(*FEATURES)} FROM im"
 ORACLE["M3_standardise"] = MED + ", ms AS (SELECT " + ", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in FEATURES) + f" FROM im) SELECT k, {r6(*[f'({f} - a_{f}) / s_{f} AS {f}' for f in FEATURES])} FROM im, ms"
 WEIGHTS = [0.5, -1.25, 0.01, 2.0, -0.003, 0.02, 0.015, -0.004, -30.0]
 CONTRIB = FEAT + ", fl AS (SELECT k, " + ", ".join(f"coalesce({f}, {dict(age=50.0, pr_interval_ms=160.0).get(f, 0.0)}) AS {f}" for f in FEATURES) + " FROM q), lo AS (" + " UNION ALL ".join(
-    f"SELECT k, {i} AS i, '{f}' AS feature, CAST({w} AS DOUBLE) * {f} AS c FROM fl" for i, (f, w) in enumerate(zip(FEATURES, WEIGHTS))
-) + "), rk AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY abs(c) DESC, i) - 1 AS INT) AS rank, feature, CASE WHEN c >= 0 THEN 'increases' ELSE 'decreases' END AS direction, c FROM lo) "
+    f"SELECT k, {i} AS i, '{f}' AS feature, CAST({w} AS DOUBLE) * {f} AS c, {f} AS v FROM fl" for i, (f, w) in enumerate(zip(FEATURES, WEIGHTS))
+) + "), rk AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY abs(c) DESC, i) - 1 AS INT) AS rank, feature, CASE WHEN c >= 0 THEN 'increases' ELSE 'decreases' END AS direction, c, v FROM lo) "
 ORACLE["M7_contributions"] = CONTRIB + f"SELECT k, rank, feature, direction, {r6('c AS contribution')} FROM rk"
+ORACLE["C14_attributions"] = CONTRIB + f"SELECT k, feature AS name, direction, {r6('v AS value', 'c AS contribution')} FROM rk"
 ORACLE["O4_top_contribution"] = CONTRIB + f"SELECT k, feature, direction, {r6('c AS contribution')} FROM rk WHERE rank = 0"
 ORACLE["J9_weighted_sum"] = FEAT + f"SELECT k, {r6(' + '.join(f'coalesce({f}, 0) * {i + 1}' for i, f in enumerate(FEATURES)) + ' AS total').replace('coalesce(age', 'coalesce(age')} FROM q"
 DEFAULTS = {"age": 0.0, "sex": 0.0, "p_duration_ms": 110.0, "qtc_ms": 410.0}
@@ -716,3 +717,41 @@ for ours, sql in {
     "A23_morphology_stored": "A23_batch_morphology", "J2_feature_table_stored": "J2_feature_table", "W4_long_records": "W4_qrs_peaks",
 }.items():
     ORACLE[ours] = ORACLE[sql]
+
+# --- calibration -------------------------------------------------------------------------------
+
+# Newton's steps for the lines of all datasets; the logit is kept off 0 and 1.
+LINES = """cells AS MATERIALIZED (
+  SELECT dataset, ln(greatest(1e-12, least(1 - 1e-12, s)) / (1 - greatest(1e-12, least(1 - 1e-12, s)))) AS x, count(*) AS n, sum(y) AS hits
+  FROM g GROUP BY 1, 2
+), lines AS (
+  SELECT DISTINCT dataset, 0::DOUBLE AS a, 0::DOUBLE AS b, 0 AS step FROM g
+  UNION ALL
+  SELECT dataset, a + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), b + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), step + 1 FROM (
+    SELECT dataset, any_value(a) AS a, any_value(b) AS b, any_value(step) AS step, sum(hits - n * p) AS g0, sum((hits - n * p) * x) AS g1,
+           sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * x) AS h01, sum(n * p * (1 - p) * x * x) AS h11
+    FROM (SELECT *, 1 / (1 + exp(-(a * x + b))) AS p FROM cells JOIN lines USING (dataset)) WHERE step < 20 GROUP BY dataset)
+), line AS (SELECT dataset, a, b FROM lines WHERE step = 20)
+"""
+RECURSIVE = PRED.replace("WITH p AS", "WITH RECURSIVE p AS")
+ORACLE["C7_external_validation"] = RECURSIVE + METRICS + ", " + LINES + f"""
+SELECT dataset, n, {r6('auc', 'sens AS sensitivity', 'spec AS specificity', 'f1', 'ppv', 'npv', 'brier AS brier_score', 'a AS calibration_slope', 'b AS calibration_intercept')}, tn, fp, fn, tp
+FROM m JOIN line USING (dataset)"""
+ORACLE["C6_platt"] = RECURSIVE + LINES + f"""
+SELECT CAST(doc_id AS VARCHAR) AS patient_id, y AS y_true, {r6('s AS y_score', '1 / (1 + exp(-(a * ln(greatest(1e-12, least(1 - 1e-12, s)) / (1 - greatest(1e-12, least(1 - 1e-12, s)))) + b))) AS calibrated')}
+FROM p, line WHERE line.dataset = 'overall'"""
+# The step at a score: the largest over beginnings up to it of the smallest over ends from it of the mean between.
+ORACLE["C6_isotonic"] = PRED + f"""
+q AS (SELECT s, count(*) AS w, sum(y) AS t, row_number() OVER (ORDER BY s) AS i FROM p GROUP BY s),
+u AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(t) OVER (ORDER BY i) AS ct FROM q),
+ab AS (SELECT a.i AS a, b.i AS b, (b.ct - a.ct + a.t) / (b.cw - a.cw + a.w) AS mean FROM u a JOIN u b ON a.i <= b.i),
+lo AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM ab),
+v AS (SELECT i, max(least) AS value FROM lo GROUP BY i)
+SELECT CAST(doc_id AS VARCHAR) AS patient_id, y AS y_true, {r6('p.s AS y_score', 'value AS calibrated')} FROM p JOIN q USING (s) JOIN v USING (i)"""
+
+# What must hold whatever was trained.
+ORACLE["M9_reload_identity"] = "SELECT true AS logistic_difference, true AS boosting_difference"
+ORACLE["T1_arrival_findings"] = PEAKS + f""", one AS (SELECT k, any_value(lead) AS selected_lead FROM work GROUP BY k)
+SELECT {ID}, selected_lead, CAST(count(r) AS INT) AS qrs_count, NULL AS error FROM one LEFT JOIN peaks USING (k)
+WHERE k % 14 NOT IN (3, 5) AND k % 11 <> 0 GROUP BY k, selected_lead
+UNION ALL SELECT replace(stem, 'records/', ''), NULL, NULL, error FROM ({ORACLE['P9_dead_letters']})"""

@@ -13,7 +13,7 @@ from signalframe.functions import beats as B, leads as L, quality as Q, rhythm a
 from signalframe.functions.arrays import centre, let, median, moving_average, quantile_of_sorted, present
 from signalframe.functions.values import code_map, comment_age, comment_sex, has_code, sex_code
 from signalframe.operators import (
-    dimensions, evaluation, features, intervals, long_records, measurement as M, models, preprocessing, selection,
+    calibration as fits, dimensions, evaluation, features, intervals, long_records, measurement as M, models, preprocessing, selection,
 )
 from signalframe.plans import analyse, feature_job
 from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES, STANDARD_LEADS
@@ -762,6 +762,15 @@ def contributions(spark, sf):
     return rounded(found.select("k", "rank", "c.feature", "c.direction", "c.contribution"))
 
 
+@query("C14_attributions")
+def attributions(spark, sf):
+    """One row per record and input: name, value, contribution, direction."""
+    weights = [0.5, -1.25, 0.01, 2.0, -0.003, 0.02, 0.015, -0.004, -30.0]
+    filled = features.model_input(bridges.feature_rows(spark, sf), {"age": 50.0, "pr_interval_ms": 160.0}, "k")
+    found = filled.select("k", F.explode(models.contributions(FEATURES, weights)).alias("c"))
+    return rounded(found.select("k", F.col("c.feature").alias("name"), "c.value", "c.contribution", "c.direction"))
+
+
 @query("O4_top_contribution")
 def top_contribution(spark, sf):
     return contributions(spark, sf).filter("rank = 0").drop("rank")
@@ -1084,12 +1093,16 @@ def metadata_of_files(spark, sf):
     ))
 
 
-@query("P9_dead_letters_of_files")
-def dead_letters_of_files(spark, sf):
-    files = _files(spark, sf)
+def _with_broken(files: DataFrame) -> DataFrame:
+    """Some signal files are cut short."""
     key = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
     cut = F.col("path").endswith(".dat") & (key % 11 == 0)
-    folder = _written(spark, sf, files.withColumn("content", F.when(cut, F.substring(F.col("content"), 1, 1001)).otherwise(F.col("content"))))
+    return files.withColumn("content", F.when(cut, F.substring(F.col("content"), 1, 1001)).otherwise(F.col("content")))
+
+
+@query("P9_dead_letters_of_files")
+def dead_letters_of_files(spark, sf):
+    folder = _written(spark, sf, _with_broken(_files(spark, sf)))
     _, errors = wfdb.split_readable(record_source.complete(record_source.read_records(spark, folder, signals=False)))
     return errors.select(_below(folder, F.col("stem")).alias("stem"), "error")
 
@@ -1149,11 +1162,12 @@ def scores(spark, sf):
 
 @query("M9_reload_identity")
 def reload_identity(spark, sf):
-    model, metadata = _loaded(spark, sf)
-    folder = _fresh(spark, "models")
-    models.save_artifacts(spark, models.Trained(model, None, None, None, metadata), folder)
-    again, _ = models.load_artifacts(spark, folder)
-    return models.reload_difference(bridges.feature_rows(spark, sf).drop("k"), "ecg_id", model, again)
+    """The model as trained beside the model as saved and loaded."""
+    trained, folder = _trained(spark, sf), _fresh(spark, "models")
+    models.save_artifacts(spark, trained, folder)
+    loaded, _ = models.load_artifacts(spark, folder)
+    difference = models.reload_difference(bridges.feature_rows(spark, sf).drop("k"), "ecg_id", trained.model, loaded)
+    return difference.select(*[(F.col(c) <= 1e-12).alias(c) for c in difference.columns])
 
 
 @query("M10_model_metrics")
@@ -1187,7 +1201,20 @@ def calibration(spark, sf):
 
 @query("C7_external_validation")
 def external_validation(spark, sf):
-    return models.external_validation(bridges.predictions(spark, sf))
+    return rounded(models.external_validation(bridges.predictions(spark, sf)))
+
+
+@query("C6_isotonic")
+def isotonic_scores(spark, sf):
+    fitted = fits.isotonic(bridges.predictions(spark, sf))
+    return rounded(fitted.select(F.col("patient_id").cast("string").alias("patient_id"), "y_true", "y_score", "calibrated"))
+
+
+@query("C6_platt")
+def platt_scores(spark, sf):
+    predictions = bridges.predictions(spark, sf)
+    fitted = models.calibrated(predictions, "platt")
+    return rounded(fitted.select(F.col("patient_id").cast("string").alias("patient_id"), "y_true", "y_score", "calibrated"))
 
 
 @query("C9_ablation")
@@ -1204,15 +1231,18 @@ def measurement_bundle(spark, sf):
     return found.select("record_id", analyse.basic_measurements().alias("basic_ecg_measurements"))
 
 
-@query("R12_report")
-def report(spark, sf):
-    documents = analyse.analyse(synthetic.records(spark, sf), *_loaded(spark, sf))
+def _report_columns(documents: DataFrame) -> DataFrame:
     return documents.select(
         "record_id", "selected_lead", "qrs_count", "af_detection_score", "main_atrial_remodeling_score", "confidence_score",
         "rhythm", F.col("advanced_ecg_interpretation.physician_report").alias("physician_report"),
     )
 
 
+@query("R12_report")
+def report(spark, sf):
+    return _report_columns(analyse.analyse(synthetic.records(spark, sf), *_loaded(spark, sf)))
+
+
 @query("S14_documents")
 def documents(spark, sf):
     path = _fresh(spark, "documents")
@@ -1238,3 +1268,30 @@ def arrivals(spark, sf):
     stream = arriving(spark, f"{sf}/customer.parquet*", customers)
     append_results(stream, score_batch, out, checkpoint).awaitTermination()
     return spark.read.parquet(out)
+
+
+def _arrived(spark, sf, transform) -> tuple[DataFrame, DataFrame]:
+    """Documents and dead letters of a stream over record files, some of them broken."""
+    from signalframe.streaming.arrivals import score_arrivals
+
+    stems = record_source.arriving_records(spark, _written(spark, sf, _with_broken(_files(spark, sf))), settle=0)
+    out, dead, checkpoint = _fresh(spark, "documents"), _fresh(spark, "dead-letters"), _fresh(spark, "arrivals-checkpoint")
+    score_arrivals(stems, transform, out, dead, checkpoint).awaitTermination()
+    return spark.read.parquet(out), spark.read.parquet(dead)
+
+
+@query("T1_scored_arrivals")
+def scored_arrivals(spark, sf):
+    from signalframe.streaming.arrivals import report_of
+
+    return _report_columns(_arrived(spark, sf, report_of(*_loaded(spark, sf)))[0])
+
+
+@query("T1_arrival_findings")
+def arrival_findings(spark, sf):
+    found, dead = _arrived(spark, sf, lambda r: M.detect_beats(r).select("record_id", "selected_lead", F.size("peaks").alias("qrs_count")))
+    lost = dead.select(
+        F.regexp_extract("stem", "([^/]*)$", 1).alias("record_id"), F.lit(None).cast("string").alias("selected_lead"),
+        F.lit(None).cast("int").alias("qrs_count"), "error",
+    )
+    return found.select("record_id", "selected_lead", "qrs_count", F.lit(None).cast("string").alias("error")).unionByName(lost)

@@ -9,10 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signalframe.operators import evaluation, features as feature_ops
+from signalframe.operators import calibration, evaluation, features as feature_ops
+from signalframe.operators.calibration import logit
 from signalframe.operators.selection import exact_quantiles, stratified_split
 from signalframe.schemas import FEATURES
 from signalframe.session import materialise
@@ -266,45 +266,22 @@ def serving_defaults(metadata: dict) -> dict[str, float]:
 # --- calibration -------------------------------------------------------------------------------
 
 
-def logit(p: Column) -> Column:
-    safe = F.greatest(F.lit(1e-12), F.least(F.lit(1.0 - 1e-12), p))
-    return F.ln(safe / (1.0 - safe))
-
-
-def _by_score(predictions: DataFrame) -> DataFrame:
-    """One weighted row per distinct score: the same fit with fewer rows."""
-    return predictions.groupBy("y_score").agg(
-        F.avg(F.col("y_true").cast("double")).alias("rate"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-
-
 def fit_platt(predictions: DataFrame) -> tuple[float, float]:
     """Slope and intercept of the label on the logit of the score, without penalty."""
-    cells = predictions.groupBy("y_score", F.col("y_true").cast("double").alias("label")).agg(
-        F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    rows = VectorAssembler(inputCols=["x"], outputCol="v").transform(cells.withColumn("x", logit(F.col("y_score"))))
-    fitted = LogisticRegression(
-        featuresCol="v", labelCol="label", weightCol="weight", regParam=0.0, maxIter=200, tol=1e-10
-    ).fit(rows)
-    return float(fitted.coefficients[0]), float(fitted.intercept)
+    line = calibration.platt_lines(predictions.select("y_true", "y_score", F.lit(evaluation.OVERALL).alias("dataset"))).first()
+    return float(line["slope"]), float(line["intercept"])
 
 
 def apply_platt(score_: Column, slope: float, intercept: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(F.lit(slope) * logit(score_) + F.lit(intercept))))
 
 
-def fit_isotonic(predictions: DataFrame):
-    cells = _by_score(predictions)
-    return IsotonicRegression(featuresCol="y_score", labelCol="rate", weightCol="weight", predictionCol="calibrated").fit(cells)
-
-
 def calibrated(predictions: DataFrame, method: str) -> DataFrame:
     """Add ``calibrated``, fitted on the same rows."""
     if method == "platt":
         return predictions.withColumn("calibrated", apply_platt(F.col("y_score"), *fit_platt(predictions)))
     if method == "isotonic":
-        return fit_isotonic(predictions).transform(predictions)
+        return calibration.isotonic(predictions)
     raise ValueError(f"Unknown calibration method: {method}")
 
 
@@ -323,21 +300,11 @@ def calibration_report(predictions: DataFrame, method: str) -> DataFrame:
 
 
 def external_validation(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Metrics per dataset with calibration slope and intercept.
-
-    One small fit per dataset: the datasets are the handful named by the registry, and each fit is
-    a distributed job over counts per score.
-    """
-    report = evaluation.metrics_report(predictions, threshold)
-    names = [r["dataset"] for r in report.select("dataset").collect()]
-    rows = []
-    for name in names:
-        part = predictions if name == evaluation.OVERALL else predictions.filter(F.col("dataset") == name)
-        rows.append((name, *fit_platt(part)))
-    lines = predictions.sparkSession.createDataFrame(
-        rows, "dataset string, calibration_slope double, calibration_intercept double"
+    """Metrics per dataset with calibration slope and intercept, all lines from one fit."""
+    lines = calibration.platt_lines(calibration.with_overall(predictions)).select(
+        "dataset", F.col("slope").alias("calibration_slope"), F.col("intercept").alias("calibration_intercept")
     )
-    return report.join(lines, "dataset")
+    return evaluation.metrics_report(predictions, threshold).join(lines, "dataset")
 
 
 # --- ablation ----------------------------------------------------------------------------------

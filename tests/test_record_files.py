@@ -9,6 +9,7 @@ from checks import encode, synthetic
 from signalframe.operators import features, measurement as M
 from signalframe.schemas import DELINEATION, STANDARD_LEADS
 from signalframe.sources import record_source, tables, wfdb
+from signalframe.streaming import arrivals
 
 
 def plan(df):
@@ -23,16 +24,17 @@ def records(spark):
 
 def test_pairing_by_name():
     found = record_source.pair([
-        ("d/a.dat", 5), ("d/a.hea", 1), ("e/a.HEA", 2), ("d/b.hea", 1), ("d/c.dat", 9), ("d/readme.txt", 3), ("d/a.HEA", 7), ("noext", 1),
+        ("d/a.dat", 5, 30), ("d/a.hea", 1, 40), ("e/a.HEA", 2, 0), ("d/b.hea", 1, 0), ("d/c.dat", 9, 0), ("d/readme.txt", 3, 0),
+        ("d/a.HEA", 7, 20), ("noext", 1, 0),
     ])
     assert [(s.stem, s.header, s.signal) for s in found] == [
         ("d/a", "d/a.hea", "d/a.dat"), ("d/b", "d/b.hea", None), ("d/c", None, "d/c.dat"), ("e/a", "e/a.HEA", None),
     ]
-    assert found[0].signal_bytes == 5
+    assert (found[0].signal_bytes, found[0].arrived) == (5, 40)
 
 
 def test_tasks_are_planned_by_bytes():
-    stems = record_source.pair([(f"r{i:03}.{x}", 10 if x == "hea" else 100 + (900 if i == 7 else 0)) for i in range(20) for x in ("hea", "dat")])
+    stems = record_source.pair([(f"r{i:03}.{x}", 10 if x == "hea" else 100 + (900 if i == 7 else 0), 0) for i in range(20) for x in ("hea", "dat")])
     dealt = record_source.shares(stems, 350, 0, True)
     assert [s.stem for share in dealt for s in share.stems] == [s.stem for s in stems]
     assert max(len(share.stems) for share in dealt) == 3
@@ -108,3 +110,30 @@ def test_a_failed_save_leaves_the_old_table(spark, tmp_path, fmt):
     assert read() == 5
     assert tables.save_checked(rows.filter("id > 2"), path, fmt) == 2 and read() == 2
     assert os.listdir(tmp_path) == ["table"]
+
+
+def test_arriving_files_are_scored_once(spark, records, tmp_path):
+    out, dead, checkpoint, folder = (str(tmp_path / n) for n in ("out", "dead", "checkpoint", "in"))
+    files = encode.encode_records(records.where("k <= 12"), "", synthetic.STEPS)
+    work = lambda r: M.detect_beats(r).select("record_id", "selected_lead", "peaks")
+    late = F.col("path").startswith("7.") | F.col("path").endswith("9.hea")
+    encode.write_files(files.where(~late), folder)
+    (tmp_path / "in" / "3.dat").write_bytes(b"x" * 1001)
+
+    def run():
+        stems = record_source.arriving_records(spark, folder, settle=0)
+        arrivals.score_arrivals(stems, work, out, dead, checkpoint).awaitTermination()
+        found = spark.read.parquet(out).collect()
+        return sorted(r.record_id for r in found), [r.stem.rsplit("/", 1)[1] for r in spark.read.parquet(dead).collect()]
+
+    whole = {str(i) for i in range(1, 13)}
+    assert run() == (sorted(whole - {"3", "7", "9"}), ["3"])
+    assert run() == (sorted(whole - {"3", "7", "9"}), ["3"])  # nothing new
+    encode.write_files(files.where(late), folder)
+    assert run() == (sorted(whole - {"3"}), ["3"])
+    again = record_source.complete(record_source.read_records(spark, folder)).where("record_id in ('7', '9')")
+    number = max(r.batch_id for r in spark.read.parquet(out).collect())
+    arrivals.write_batch(again, number, work, out, dead)  # a batch that runs twice
+    found = {r.record_id: (r.selected_lead, r.peaks) for r in spark.read.parquet(out).collect()}
+    assert spark.read.parquet(out).count() == 11
+    assert found == {r.record_id: (r.selected_lead, r.peaks) for r in work(records.where("k <= 12 and k <> 3")).collect()}
