@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from signalframe.session import materialise, shared_dir
 
-__all__ = ["column", "kept", "lower_ascii", "materialise", "rows", "shared_dir", "spaced_words", "without", "words"]
+__all__ = ["BROADCAST_IDS", "column", "kept", "lower_ascii", "materialise", "rows", "shared_dir", "spaced_words", "without", "words"]
 
 #: Rows that one call of a row function sees, in bytes of its text column.
 SLICE_BYTES = 8 << 20

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from signalframe.llm.common import column, materialise, rows, spaced_words, without
+from signalframe.llm.common import BROADCAST_IDS, column, materialise, rows, spaced_words, without
 from signalframe.llm.links import components, forest
 
 RADIUS = 4
@@ -32,10 +32,10 @@ BLOCK = 256  # fingerprints that are compared with all their visitors at once
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -> np.ndarray:
-    """64-bit fingerprints: a bit is 1 where over half of the hashes of all shingles have it.
+def shingle_hashes(texts: list[str | None], width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the texts' shingles in order, how many each text has).
 
-    Shingles are `width` consecutive words, repeats included; a text of fewer words is one shingle, of none 0.
+    Shingles are `width` consecutive words, repeats included; a text of fewer words is one shingle, of none has none.
     """
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
     for text in texts:
@@ -49,12 +49,19 @@ def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -
         starts = np.concatenate(([0], ends[:-width] + 1))
         hashes += [digest(flat[i:j], seed) for i, j in zip(starts.tolist(), ends[width - 1:].tolist())]
         counts.append(len(found) - width + 1)
-    n = np.array(counts, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64)
+
+
+def fingerprint_batch(texts: list[str | None], width: int = 4, seed: int = 42) -> np.ndarray:
+    """64-bit fingerprints: a bit is 1 where over half of the hashes of all shingles have it; no shingles give 0."""
+    return majority(*shingle_hashes(texts, width, seed))
+
+
+def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(n), dtype=np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
-    h = np.array(hashes, dtype=np.uint64)
     # sum eight bits at a time in the eight bytes of a word, over runs of at most 255 hashes of one text
     first = np.cumsum(n[full]) - n[full]
     runs = -(-n[full] // 255)
@@ -173,6 +180,19 @@ def shard_forest(own: np.ndarray, visitors: np.ndarray, with_own: bool, radius:
 
 def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges between different fingerprints (column `bits`) that join exactly what links join."""
+    def compare(key, shard):
+        bits, home = shard["bits"].to_numpy().view(np.uint64), shard["home"].to_numpy()
+        a, b = shard_forest(bits[home], bits[~home], key[1] == 0, radius)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    return _by_shard(distinct.select("bits"), radius, compare)
+
+
+def _by_shard(distinct: DataFrame, radius: int, compare) -> DataFrame:
+    """(a, b) that `compare` finds in each shard, among its residents and between them and its visitors.
+
+    `distinct` has a row for each fingerprint, with `bits` and more columns of 64-bit numbers.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
     depth = int(min(MAX_DEPTH, max(MIN_DEPTH, np.ceil(np.log2(max(n, 1) / SHARD)))))
@@ -180,7 +200,7 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     slot = F.pmod(F.xxhash64("bits"), F.lit(max(1, n // wanted)))
     found = distinct.where(slot == 0).orderBy(F.xxhash64("bits")).limit(4 * wanted).collect()  # bounded by MAX_DEPTH
     tree = build_tree(np.array([r["bits"] for r in found], dtype=np.int64).view(np.uint64), depth)
-    shared = spark.sparkContext.broadcast(tree)
+    shared, names = spark.sparkContext.broadcast(tree), distinct.columns
     slices = max(1, round(n * 0.84 ** depth / 2 / VISITORS))  # expected visitors of a shard, over the limit
 
     step = max(64, 1 << 20 >> depth)  # fingerprints routed at once; each may visit many shards
@@ -196,15 +216,11 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                     sent = home | (spread == k)
                     yield pa.RecordBatch.from_pydict({
                         "shard": shard[sent], "slice": np.full(sent.sum(), k, np.int32), "home": home[sent],
-                        "bits": bits[row[sent]].view(np.int64),
+                        **{c: batch.column(c).to_numpy()[at + row[sent]] for c in names},
                     })
 
-    def compare(key, shard):
-        bits, home = shard["bits"].to_numpy().view(np.uint64), shard["home"].to_numpy()
-        a, b = shard_forest(bits[home], bits[~home], key[1] == 0, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    visits = distinct.select("bits").mapInArrow(visit, "shard long, slice int, home boolean, bits long")
+    columns = "".join(f", {c} long" for c in names)
+    visits = distinct.mapInArrow(visit, "shard long, slice int, home boolean" + columns)
     return visits.groupBy("shard", "slice").applyInPandas(compare, "a long, b long")
 
 
@@ -230,17 +246,124 @@ def near_duplicates(
     )
 
 
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents without near-duplicates: of each group one row with the smallest id stays.
+# --- near copies: wider shingles, a larger radius, links confirmed -------------------------------
+
+WIDTH, SIMILARITY = 5, 0.8
+NEAR = 14  # bits of 64 in which the fingerprints of copies of that similarity differ at most, nearly always
+BOTH = 26  # bits of 128, with a second fingerprint
+
+_MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+
+
+def second(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles: the given ones mixed, so that no bit goes with any of theirs."""
+    h = h.copy()
+    for shift, factor in _MIX:
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return h
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Numbers of pairs (a, b) that join what all pairs join, the nearest first."""
+    root, chosen = np.arange(n), []
+    for d in np.unique(far):
+        left = np.flatnonzero(far == d)
+        while len(left):
+            left = left[root[a[left]] != root[b[left]]]
+            _, first = np.unique(np.maximum(root[a[left]], root[b[left]]), return_index=True)
+            # each of these hooks another root to a smaller one, so none closes a circle
+            taken = left[first]
+            root = forest(n, a[taken], b[taken], root)
+            chosen.append(taken)
+    return np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
+
+
+def shard_candidates(own: np.ndarray, visitors: np.ndarray, with_own: bool, near: int, both: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of fingerprints, columns bits and check) within both limits, as many as join what all of them join."""
+    every = np.concatenate((own, visitors))
+    seen = every if with_own else visitors
+    shift = 0 if with_own else len(own)
+    a, b, far = (np.empty(0, dtype=np.int64) for _ in range(3))
+    for i, j in near_pairs(own[:, 0], seen[:, 0], near):
+        d = (distance(own[i, 0], seen[j, 0]) + distance(own[i, 1], seen[j, 1])).astype(np.int64)
+        able = (d <= both) & (i != j + shift)
+        a, b, far = np.append(a, i[able]), np.append(b, j[able] + shift), np.append(far, d[able])
+        if len(a) > 1 << 20:
+            held = spanning(len(every), a, b, far)
+            a, b, far = a[held], b[held], far[held]
+    held = spanning(len(every), a, b, far)
+    return every[a[held], 0], every[b[held], 0]
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, bits, group) for every row: texts of one group are joined by links.
+
+    Linked are texts whose sets of shingles of `width` words have a Jaccard similarity of `similarity` or more,
+    found where their fingerprints differ in at most NEAR bits, and BOTH bits with a second fingerprint of the same
+    shingles. Of the pairs found in a shard the nearest that join them are confirmed by the shingles themselves.
+    Texts with equal fingerprints count as copies, null and blank ones too.
+    """
+    def run(batch):
+        h, n = shingle_hashes(batch["text"], width, 42)
+        yield {"doc_id": batch["doc_id"], "bits": majority(h, n).view(np.int64), "check": majority(second(h), n).view(np.int64)}
+
+    base = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
+    made = materialise(rows(base, run, "doc_id long, bits long, check long"))
+    distinct = materialise(made.groupBy("bits").agg(F.min(F.struct("doc_id", "check")).alias("m")).select("bits", "m.check", F.col("m.doc_id").alias("first")))
+
+    def compare(key, shard):
+        pairs = np.stack((shard["bits"].to_numpy(), shard["check"].to_numpy()), axis=1).view(np.uint64)
+        home = shard["home"].to_numpy()
+        a, b = shard_candidates(pairs[home], pairs[~home], key[1] == 0, NEAR, BOTH)
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    found = _by_shard(distinct.select("bits", "check"), NEAR, compare)
+    edges = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    groups = components(confirmed(base, made, distinct, edges, width, similarity))
+    joined = made.select("doc_id", "bits").join(groups.withColumnRenamed("node", "bits"), "bits", "left")
+    return joined.select("doc_id", "bits", F.coalesce("component", "bits").alias("group"))
+
+
+def confirmed(base: DataFrame, made: DataFrame, distinct: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges whose texts have that Jaccard similarity; a fingerprint's text is one that has the smallest id."""
+    ends = edges.select(F.col("a").alias("bits")).union(edges.select(F.col("b"))).distinct()
+    wanted = materialise(distinct.join(ends, "bits").select(F.col("first").alias("_id")).distinct())
+    some = wanted.count() <= BROADCAST_IDS
+    texts = base.join(F.broadcast(wanted) if some else wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def run(batch):
+        h, n = shingle_hashes(batch["text"], width, 42)
+        cuts = np.cumsum(n)[:-1]
+        yield {"bits": majority(h, n).view(np.int64), "shingles": [np.unique(x).view(np.int64) for x in np.split(h, cuts)]}
+
+    sets = materialise(rows(texts, run, "bits long, shingles array<long>").dropDuplicates(["bits"]))
+    one, two = (sets.select(F.col("bits").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+    met = edges.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("_a", "_b")))
+    return met.where(F.col("same") >= similarity * (F.size("_a") + F.size("_b") - F.col("same"))).select("a", "b")
 
-    Rows with a null id stay: nothing tells them apart.
+
+def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near copies: of each group (:func:`near_copies`) one row with the smallest id stays.
+
+    Rows are told apart by id and fingerprint: two texts under one id are two documents, each in its own group.
+    Rows with a null id stay, as nothing tells them apart.
     """
-    groups = near_duplicates(docs, id, text, radius).where("doc_id is not null")
-    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    ids = materialise(groups.groupBy(F.col("doc_id").alias("_id")).agg(F.max(own).alias("stays"), F.count("*").alias("n")))
+    found = near_copies(docs, id, text, width, similarity).where("doc_id is not null")
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "bits")).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    marked = found.join(first, ["doc_id", "bits"], "left")
+    ids = materialise(marked.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.coalesce("stays", F.lit(False))).alias("stays"), F.count("*").alias("n")))
     stay = without(docs, id, ids.where("not stays").select("_id"))
-    repeated = ids.where("stays and n > 1").select("_id")
+    repeated = materialise(ids.where("stays and n > 1").select("_id"))
     if repeated.isEmpty():
         return stay
-    once = docs.join(repeated, column(id).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id])
+    # the few rows that share an id are chosen by their own fingerprint
+    own = docs.join(repeated, column(id).cast("long") == F.col("_id"), "left_semi")
+
+    @F.pandas_udf("long")
+    def bits(texts: pd.Series) -> pd.Series:
+        return pd.Series(fingerprint_batch([None if pd.isna(t) else t for t in texts], width).view(np.int64))
+
+    keyed = own.select(F.struct(*map(column, docs.columns)).alias("row"), bits(column(text)).alias("bits"), column(id).cast("long").alias("doc_id"))
+    once = keyed.join(first.select("doc_id", "bits"), ["doc_id", "bits"], "left_semi").dropDuplicates(["doc_id", "bits"]).select("row.*")
     return without(stay, id, repeated).unionByName(once)
