@@ -165,24 +165,27 @@ def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
     constants: dict[str, list[int]] = {}
     for k, (name, *_rest) in enumerate(found):
         constants.setdefault(name, []).append(k)
-    spans = set()
-    for k, (name, own, value, names) in enumerate(found):
-        strength = 1.0 if _KEY_BLOCK.search(value) else name_score(name)
-        if not strength:
-            continue
-        # the constants that the value names, theirs, and so on; each assignment once
-        reached, open_ = {k}, list(names)
+    strengths = [1.0 if _KEY_BLOCK.search(value) else name_score(name) for name, _, value, _ in found]
+    # of every name the two strongest assignments that mean it, directly or through the constants they name; two, as
+    # one may be the assignment that is asked about. A name hands on what it has been given, so it is open twice at most
+    meant: dict[str, list[int]] = {}
+    for k in sorted((k for k, s in enumerate(strengths) if s), key=lambda k: -strengths[k]):
+        open_ = list(found[k][3])
         while open_:
-            for j in constants.get(open_.pop(), ()):
-                if j not in reached:
-                    reached.add(j)
+            name = open_.pop()
+            by = meant.setdefault(name, [])
+            if name in constants and len(by) < 2 and k not in by:
+                by.append(k)
+                for j in constants[name]:
                     open_ += found[j][3]
-        whole = len(reached) > 1
-        for j in reached:
-            if whole and j == k and names and not any(text[a - 1:a] in "\"'" for a, _ in own):
-                continue  # a bare name that has been resolved
-            if strength * literal_score(found[j][2]) >= threshold:
-                spans.update(found[j][1])
+    spans = set()
+    for k, (name, own, value, names) in enumerate(found):
+        strength = max((strengths[by] for by in meant.get(name, ()) if by != k), default=0.0)
+        resolved = any(constants.get(n, [k]) != [k] for n in names) and not any(text[a - 1:a] in "\"'" for a, _ in own)
+        if not resolved:  # a bare name that stands for a constant is no literal
+            strength = max(strength, strengths[k])
+        if strength and strength * literal_score(value) >= threshold:
+            spans.update(own)
     return [(a, b, "named", a) for a, b in spans if a < b]
 
 
