@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalframe.llm.common import column, materialise
 from signalframe.llm.links import components, forest
@@ -208,6 +208,15 @@ def links_by_length(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return out
 
 
+def _within_squares(v: Column) -> Column:
+    """Vectors whose squares leave the range of doubles, times a power of two, which changes no cosine."""
+    most = F.array_max(F.transform(v, F.abs))
+    power = -F.floor(F.log2(most))
+    half = F.floor(power / 2)  # in two steps, as the whole factor may leave the range too
+    scaled = F.transform(v, lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half))
+    return F.when((most > 0) & ((most < 1e-100) | (most > 1e100)), scaled).otherwise(v)
+
+
 def near_duplicates(
     vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD,
     dimension: int | None = None,
@@ -227,6 +236,8 @@ def near_duplicates(
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     base = vectors.select(column(id).cast("long").alias("vec_id"), column(embedding).alias("embedding"))
     usable = F.coalesce(finite, F.lit(False)) & (F.lit(True) if dimension is None else F.size(v) == dimension)
+    if dict(base.dtypes)["embedding"] == "array<double>":
+        v = _within_squares(v)
     base = base.select("vec_id", F.when(usable, v).alias("embedding"))
     classes = base.where("embedding is not null").groupBy("embedding").agg(
         F.min("vec_id").alias("first"), F.count("*").alias("copies")

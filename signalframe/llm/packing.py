@@ -64,6 +64,8 @@ class _Ids(dict):
 
     def __init__(self, tokenizer, lead: str = " ") -> None:
         self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        # strings that are tokens of their own; a text that holds one goes to the tokenizer as a whole
+        self.special = [] if tokenizer.encode_special_tokens else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.marks = {mark: self.unit(mark) for mark in ".,\n"}
         self.lead, self.opening = lead, _Ids(tokenizer, "") if lead else None  # words that open a line
@@ -75,7 +77,7 @@ class _Ids(dict):
     def plain(self, text: str) -> bytes:
         if text and ord(max(text)) < STABLE:
             return b"".join(map(self.unit, SPLIT.findall(text)))
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.whole(text)
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or not word[0].isprintable():
@@ -92,7 +94,12 @@ class _Ids(dict):
             self[word] = ids
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return self.whole(text)
         first, *words = text.split(" ")
         try:
             return (self.opening[first] if first.isalpha() else self.plain(first)) + b"".join(map(self.__getitem__, words))
@@ -104,14 +111,14 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian 32-bit numbers")
 
 
-def _ids(tokenizer_json: str) -> _Ids:
+def _ids(tokenizer_json: str, special_as_text: bool = False) -> _Ids:
     """The worker's tokenizer; the words it has met stay known to the process's later tasks."""
     def make() -> _Ids:
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
         return _Ids(tokenizer)
 
-    return kept(f"tokenizer {zlib.crc32(tokenizer_json.encode())}", make)
+    return kept(f"tokenizer {zlib.crc32(tokenizer_json.encode())} {special_as_text}", make)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -122,7 +129,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(
     docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text",
-    end_id: int = 0, keep_ids: bool = True,
+    end_id: int = 0, keep_ids: bool = True, special_as_text: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, local[, ids]): the pieces of every document, stored.
 
@@ -133,7 +140,7 @@ def pieces(
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local long"
 
     def start():
-        ids_of, part, seen = _ids(shared.value), TaskContext.get().partitionId(), defaultdict(int)
+        ids_of, part, seen = _ids(shared.value, special_as_text), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
 
         def run(batch: dict[str, list]) -> Iterator[dict[str, list]]:
@@ -347,12 +354,13 @@ def place(made: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
 
 def pack(
     docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text",
-    end_id: int = 0, keep_ids: bool = True, groups: int = GROUPS,
+    end_id: int = 0, keep_ids: bool = True, groups: int = GROUPS, special_as_text: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): every document in sequences.
 
     A document is its tokens and `end_id`; longer ones than `capacity` are cut into whole sequences, the
     first piece may be shorter. Null and empty texts are one token; a null id stays null; repeated rows are
-    packed each; other columns are not read, whatever their names; no documents give no rows.
+    packed each; other columns are not read, whatever their names; no documents give no rows. The strings of
+    the vocabulary's added tokens are these tokens, or with `special_as_text` text like any other.
     """
-    return place(pieces(docs, tokenizer_json, capacity, id, text, end_id, keep_ids), capacity, groups)
+    return place(pieces(docs, tokenizer_json, capacity, id, text, end_id, keep_ids, special_as_text), capacity, groups)

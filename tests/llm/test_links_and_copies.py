@@ -217,6 +217,17 @@ def test_embeddings_without_rows_or_ids(spark):
     assert defaultdict(int, {r["vec_id"]: r["n_links"] for r in rows})[None] == 2
 
 
+@pytest.mark.parametrize("small", [embedding_dedup.SMALL, 0])
+def test_tiny_and_huge_doubles_link_like_others(spark, monkeypatch, small):
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [-3.0, 1.0, 0.0]]
+    sizes = [1.0, 1e-200, 1e200, 4e-320, 1e307]
+    every = [[x * s for x in v] for s in sizes for v in base] + [[1e-200, 0.0, 0.0], [0.0] * 3]
+    frame = spark.createDataFrame(list(enumerate(every)), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert got == {i: (9, 0) if i % 3 < 2 else (4, 2) for i in range(15)} | {15: (0, 15), 16: (0, 16)}
+
+
 @pytest.mark.parametrize("small", [embedding_dedup.SMALL, 0])
 def test_vectors_link_within_every_length(spark, monkeypatch, small):
     monkeypatch.setattr(embedding_dedup, "SMALL", small)

@@ -24,9 +24,7 @@ def lower(text):
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def odd_texts(n, seed=1):
@@ -43,6 +41,15 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert np.frombuffer(ids.of(text), "<u4").tolist() == want.ids, repr(text)
 
 
+def test_special_strings_as_text():
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    ids = packing._ids(vocabulary(), special_as_text=True)
+    for text in odd_texts(500) + ["a <|endoftext|> b"]:
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing._ids(vocabulary()).of("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("capacity", [16, 100])
 def test_pieces_and_places(spark, tokenizer, capacity):
     rng = random.Random(2)
@@ -307,13 +314,50 @@ def test_literals_of_any_length(form, n):
     assert body not in secrets.redact(text, secrets.all_spans(text))
 
 
-@pytest.mark.parametrize("part", ['key="a\\"', "key[a]", "key[a][a", "[a][a]", 'key: a, "', "key::a", "key = '''a `", " \t", "key\n", "key: |\n x\n", "a|", "key+\n"])
+@pytest.mark.parametrize("part", ['key="a\\"', "key[a]", "key[a][a", "[a][a]", 'key: a, "', "key::a", "key = '''a `", " \t", "key\n", "key: |\n x\n", "a|", "key+\n", "token = token\n", "key=key2\nkey2=key\n"])
 def test_scanning_is_linear(part):
     start = time.process_time()
     secrets.all_spans("key" + part * (200_000 // len(part)))
     assert time.process_time() - start < 10
 
 
+def plain_named(text):
+    """Every sensitive assignment walks all that it reaches, by itself."""
+    found = secrets.assignments(text)
+    spans = set()
+    for k, (name, own, value, names) in enumerate(found):
+        strength = 1.0 if "PRIVATE KEY" in value else secrets.name_score(name)
+        reached, open_ = {k}, list(names)
+        while strength and open_:
+            n = open_.pop()
+            for j in range(len(found)):
+                if found[j][0] == n and j not in reached:
+                    reached.add(j)
+                    open_ += found[j][3]
+        for j in reached:
+            bare = j == k and len(reached) > 1 and names and not any(text[a - 1:a] in "\"'" for a, _ in own)
+            if strength and not bare and strength * secrets.literal_score(found[j][2]) >= secrets.THRESHOLD:
+                spans.update(found[j][1])
+    return {(a, b) for a, b in spans if a < b}
+
+
+def test_names_resolve_as_by_a_plain_walk():
+    rng = random.Random(12)
+    names = ["password", "token", "a1", "base", "xK29ddQ0vv81LmZz", "secret_value_x9Q2"]
+    literals = ['"x93kdQ02ld9aP"', "'short'", '"Zx81kkq09aa2Pq"', "Qm81kkq09aa2Pq77"]
+    some = 0
+    for _ in range(1500):
+        lines = []
+        for _ in range(rng.randint(1, 7)):
+            value = " + ".join(rng.choice(names if rng.random() < 0.6 else literals) for _ in range(rng.choice([1, 1, 1, 2])))
+            lines.append(f"{rng.choice(names)} = {value}")
+        text = "\n".join(lines)
+        got = {(a, b) for a, b, _, _ in secrets.named_spans(text)}
+        assert got == plain_named(text), text
+        some += bool(got)
+    assert some > 300
+
+
 def test_redaction_keeps_columns_and_the_rest(spark):
     docs = spark.createDataFrame([(1, "x password = 'abcdefghijkl' y", None), (2, None, 5), (3, "", 6)], "doc_id long, text string, `n.x` int")
     got = {r["doc_id"]: r for r in secrets.redact_documents(docs).collect()}
