@@ -755,3 +755,44 @@ ORACLE["T1_arrival_findings"] = PEAKS + f""", one AS (SELECT k, any_value(lead)
 SELECT {ID}, selected_lead, CAST(count(r) AS INT) AS qrs_count, NULL AS error FROM one LEFT JOIN peaks USING (k)
 WHERE k % 14 NOT IN (3, 5) AND k % 11 <> 0 GROUP BY k, selected_lead
 UNION ALL SELECT replace(stem, 'records/', ''), NULL, NULL, error FROM ({ORACLE['P9_dead_letters']})"""
+ORACLE["M4_gradient_at_fit"] = f"SELECT unnest([{listed([*FEATURES, 'intercept'])}]) AS term, true AS settled"
+
+# --- whole records, from the SQL of their parts ------------------------------------------------
+
+BUNDLE_RR = f"""(
+  SELECT record_id, count(*) AS n, avg(rr_ms) AS m, stddev_pop(rr_ms) AS sd, coalesce(sqrt(avg(d * d)), 0) AS rmssd
+  FROM (SELECT *, rr_ms - lag(rr_ms) OVER (PARTITION BY record_id ORDER BY beat_no) AS d FROM ({ORACLE['D8_rr_of_records']})) GROUP BY 1
+)"""
+ORACLE["R11_bundle_columns"] = f"""
+WITH rr AS {BUNDLE_RR},
+rs AS (SELECT record_id, round_even(m, 1) AS mean_rr_ms, round_even(sd, 1) AS rr_sd_ms, round_even(sd / m, 3) AS rr_cv, round_even(rmssd, 1) AS rmssd_ms,
+  round_even(60000.0 / m, 1) AS heart_rate_bpm, CASE WHEN sd / m < 0.08 THEN 'regular' WHEN sd / m < 0.16 THEN 'mildly irregular' ELSE 'irregular' END AS regularity FROM rr),
+ct AS (SELECT record_id, count(*) AS n FROM ({ORACLE['W4_qrs_peaks']}) GROUP BY 1),
+st AS (SELECT record_id, max(st_level_mv) AS hi, min(st_level_mv) AS lo, count(*) AS n FROM ({ORACLE['A16_st_levels']}) GROUP BY 1)
+SELECT record_id, CAST(coalesce(ct.n, 0) AS INT) AS qrs_count, l.selected_lead, mean_rr_ms, rr_sd_ms, rr_cv, rmssd_ms, heart_rate_bpm,
+  coalesce(regularity, 'unavailable') AS regularity, p.pr_mean_ms AS pr_interval_ms, p.pr_sd_ms, p.p_wave_presence_ratio, p.missing_p_wave_percent,
+  CASE WHEN p.missing_p_wave_percent > 50 THEN 'missing P waves flagged' ELSE 'P waves usually detected' END AS p_status,
+  d.qrs_duration_ms, coalesce(d.qrs_duration_ms >= 120, false) AS wide_qrs,
+  CASE WHEN d.qrs_duration_ms IS NULL THEN 'unavailable' WHEN d.qrs_duration_ms >= 120 THEN 'wide QRS flag' ELSE 'No wide QRS flag' END AS qrs_status,
+  q.qt_ms, q.qtc_bazett_ms, q.qtc_fridericia_ms, q.prolonged_qtc, x.axis_deg, x.classification AS axis_class, st.hi AS max_elevation_mv, st.lo AS max_depression_mv,
+  CAST(coalesce(st.n, 0) AS INT) AS st_leads, v.status AS lvh_status, b.status AS bbb_status,
+  round_even(least(100, coalesce(rr_cv, 0) * 155 + coalesce(rmssd_ms, 0) / 3.2 + (100 - p.p_wave_presence_ratio) * 0.2), 1) AS rr_irregularity_index,
+  round_even(100 - p.p_wave_presence_ratio, 1) AS p_wave_absence_percent, f.fibrillatory_power AS fibrillatory_baseline_power, f.dominant_f_wave_hz
+FROM ({ORACLE['P1_working_lead']}) l JOIN ({ORACLE['A9_p_wave']}) p USING (record_id) JOIN ({ORACLE['A10_qrs_duration']}) d USING (record_id)
+JOIN ({ORACLE['A12_qt_qtc']}) q USING (record_id) JOIN ({ORACLE['A14_qrs_axis']}) x USING (record_id) JOIN ({ORACLE['A17_lvh']}) v USING (record_id)
+JOIN ({ORACLE['A18_bundle_branch']}) b USING (record_id) LEFT JOIN ({ORACLE['A24_fibrillatory_power']}) f USING (record_id)
+LEFT JOIN rs USING (record_id) LEFT JOIN ct USING (record_id) LEFT JOIN st USING (record_id)"""
+ORACLE["S14_documents"] = f"SELECT record_id, classification AS axis, selected_lead AS lead FROM ({ORACLE['A14_qrs_axis']}) JOIN ({ORACLE['P1_working_lead']}) USING (record_id)"
+BEAT_RR = PEAKS + """, t AS (SELECT k, r, (r - lag(r) OVER (PARTITION BY k ORDER BY r)) / 100.0 * 1000.0 AS rr_ms FROM peaks),
+s AS (
+  SELECT CAST(k AS VARCHAR) AS record_id, r AS event_id, rr_ms, rr_ms - lag(rr_ms) OVER w AS drr_ms, lag(rr_ms) OVER w - lag(rr_ms, 2) OVER w AS before
+  FROM t WINDOW w AS (PARTITION BY k ORDER BY r)
+), r AS (SELECT * FROM s WHERE rr_ms IS NOT NULL),""" + RR.split("r AS (SELECT * FROM s WHERE rr_ms IS NOT NULL),")[1]
+ORACLE["C12_feature_bundle"] = f"""
+WITH rf AS ({BEAT_RR} SELECT record_id, cv, rmssd, tpr, sampen, shannon FROM f),
+ct AS (SELECT record_id, count(*) AS n FROM ({ORACLE['W4_qrs_peaks']}) GROUP BY 1)
+SELECT record_id, CAST(coalesce(ct.n, 0) AS INT) AS qrs_count,
+  {r6('coalesce(cv, 0) AS rr_cv', 'coalesce(rmssd, 0) AS rmssd_ms', 'coalesce(tpr, 0) AS turning_point_ratio', 'coalesce(sampen, 0) AS sample_entropy', 'coalesce(shannon, 0) AS shannon_entropy')},
+  p_wave_presence_ratio, pr_mean_ms, noise_score, baseline_wander_score, signal_quality_index, usable_leads AS usable, fibrillatory_power, dominant_f_wave_hz
+FROM ({ORACLE['A9_p_wave']}) JOIN ({ORACLE['A2_signal_quality']}) USING (record_id) LEFT JOIN ({ORACLE['A24_fibrillatory_power']}) USING (record_id)
+LEFT JOIN rf USING (record_id) LEFT JOIN ct USING (record_id)"""

@@ -1148,6 +1148,20 @@ def logistic_coefficients(spark, sf):
     )
 
 
+@query("M4_gradient_at_fit")
+def gradient_at_fit(spark, sf):
+    """Whether the slope of the penalised loss vanishes at the fitted weights, term by term."""
+    rows = bridges.feature_rows(spark, sf)
+    preparation = models.fit_preparation(rows)
+    fitted = {r["term"]: r["weight"] for r in logistic_coefficients(spark, sf).collect()}
+    weight, n = models.balanced_weight(rows, "current_atrial_abnormality")
+    z = sum((F.lit(fitted[c]) * preparation.scaled(c) for c in FEATURES), F.lit(fitted["intercept"]))
+    miss = weight * (1.0 / (1.0 + F.exp(-z)) - F.col("current_atrial_abnormality"))
+    slopes = rows.agg(*[(F.avg(miss * preparation.scaled(c)) + fitted[c] / n).alias(c) for c in FEATURES], F.avg(miss).alias("intercept"))
+    flat = F.explode(F.array(*[F.struct(F.lit(c).alias("term"), (F.abs(c) < 1e-5).alias("settled")) for c in slopes.columns]))
+    return slopes.select(flat.alias("s")).select("s.*")
+
+
 @query("M5_boosted_scores")
 def boosted_scores(spark, sf):
     rows = bridges.feature_rows(spark, sf).drop("k")
@@ -1231,6 +1245,24 @@ def measurement_bundle(spark, sf):
     return found.select("record_id", analyse.basic_measurements().alias("basic_ecg_measurements"))
 
 
+@query("R11_bundle_columns")
+def bundle_columns(spark, sf):
+    """The measurement bundle, flat."""
+    found = analyse.interpret(analyse.measure(synthetic.records(spark, sf)))
+    b = found.select("record_id", "qrs_count", analyse.basic_measurements().alias("b"))
+    regular = ("mean_rr_ms", "rr_sd_ms", "rr_cv", "rmssd_ms", "heart_rate_bpm", "regularity")
+    return rounded(b.select(
+        "record_id", "qrs_count", "b.selected_lead", *[F.col(f"b.rhythm_regularity.{c}").alias(c) for c in regular],
+        "b.p_wave_pr.pr_interval_ms", "b.p_wave_pr.pr_sd_ms", "b.p_wave_pr.p_wave_presence_ratio", "b.p_wave_pr.missing_p_wave_percent",
+        F.col("b.p_wave_pr.status").alias("p_status"), "b.qrs.qrs_duration_ms", "b.qrs.wide_qrs", F.col("b.qrs.status").alias("qrs_status"),
+        "b.qt_qtc.qt_ms", "b.qt_qtc.qtc_bazett_ms", "b.qt_qtc.qtc_fridericia_ms", "b.qt_qtc.prolonged_qtc", "b.axis.axis_deg",
+        F.col("b.axis.classification").alias("axis_class"), "b.st_segment.max_elevation_mv", "b.st_segment.max_depression_mv",
+        F.size("b.st_segment.lead_measurements").alias("st_leads"), F.col("b.lvh.status").alias("lvh_status"), F.col("b.bbb.status").alias("bbb_status"),
+        "b.af_rhythm_markers.rr_irregularity_index", "b.af_rhythm_markers.p_wave_absence_percent",
+        "b.af_rhythm_markers.fibrillatory_baseline_power", "b.af_rhythm_markers.dominant_f_wave_hz",
+    ))
+
+
 def _report_columns(documents: DataFrame) -> DataFrame:
     return documents.select(
         "record_id", "selected_lead", "qrs_count", "af_detection_score", "main_atrial_remodeling_score", "confidence_score",
