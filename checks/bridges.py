@@ -113,6 +113,14 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, FEATURE_SQL, "k AS ecg_id", "cast(o_orderstatus = 'F' as int) AS current_atrial_abnormality")
 
 
+def interval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model inputs with interval measures, over the order key; one measure has holes."""
+    more = {"rr_mean_ms": "CASE WHEN k % 23 = 0 THEN NULL ELSE 500.0E0 + (k * 59) % 700 END", "rr_cv": RULE_SQL["cv"],
+            "rmssd_ms": RULE_SQL["rmssd"], "pnn50_percent": RULE_SQL["pnn50"], "sample_entropy": "((k * 61) % 40) / 100.0E0",
+            "shannon_entropy": "((k * 67) % 35) / 10.0E0", "turning_point_ratio": "((k * 71) % 101) / 101.0E0"}
+    return _derived(spark, sf_dir, FEATURE_SQL | more, "k AS ecg_id", "cast(o_orderstatus = 'F' as int) AS current_atrial_abnormality")
+
+
 def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, RULE_SQL)
 

@@ -796,3 +796,8 @@ SELECT record_id, CAST(coalesce(ct.n, 0) AS INT) AS qrs_count,
   p_wave_presence_ratio, pr_mean_ms, noise_score, baseline_wander_score, signal_quality_index, usable_leads AS usable, fibrillatory_power, dominant_f_wave_hz
 FROM ({ORACLE['A9_p_wave']}) JOIN ({ORACLE['A2_signal_quality']}) USING (record_id) LEFT JOIN ({ORACLE['A24_fibrillatory_power']}) USING (record_id)
 LEFT JOIN rf USING (record_id) LEFT JOIN ct USING (record_id)"""
+ORACLE["C9_ablation_settled"] = "SELECT * FROM (VALUES ('RR only', 7), ('P-wave only', 5), ('Morphology only', 2), ('RR + P wave', 12), ('RR + P wave + morphology', 14), ('P wave + morphology', 7), ('Demographics only', 2), ('All', 16)) t(feature_group, inputs), (SELECT true AS settled)"
+ORACLE["C9_feature_table_with_intervals"] = f"""
+WITH {META}, rf AS ({BEAT_RR} SELECT * FROM f WHERE n > 1 AND CAST(record_id AS BIGINT) % 23 <> 8)
+SELECT ecg_id, qrs_duration_ms, {r6('mean_rr AS rr_mean_ms', 'cv AS rr_cv', 'rmssd AS rmssd_ms', 'pnn50 AS pnn50_percent', 'sampen AS sample_entropy', 'shannon AS shannon_entropy', 'tpr AS turning_point_ratio')}
+FROM ({ORACLE['J2_feature_table']}) JOIN (SELECT ecg_id, filename_lr FROM md) USING (ecg_id) LEFT JOIN rf ON rf.record_id = filename_lr"""

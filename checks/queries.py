@@ -15,8 +15,9 @@ from signalframe.functions.values import code_map, comment_age, comment_sex, has
 from signalframe.operators import (
     calibration as fits, dimensions, evaluation, features, intervals, long_records, measurement as M, models, preprocessing, selection,
 )
+from signalframe.operators.group_fits import fit_groups
 from signalframe.plans import analyse, feature_job
-from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES, STANDARD_LEADS
+from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, RHYTHM_CODES, RR_FEATURES, STANDARD_LEADS
 from signalframe.session import materialise, settle, shared_dir
 from checks import encode, synthetic
 from signalframe.sources import record_source, tables, wfdb
@@ -1233,7 +1234,36 @@ def platt_scores(spark, sf):
 
 @query("C9_ablation")
 def ablation(spark, sf):
-    return models.ablation(bridges.feature_rows(spark, sf), "ecg_id", "current_atrial_abnormality")
+    return models.ablation(bridges.interval_rows(spark, sf), "ecg_id", "current_atrial_abnormality")
+
+
+@query("C9_ablation_settled")
+def ablation_settled(spark, sf):
+    """Whether the slope of the penalised loss vanishes at the weights of each group, whatever its inputs."""
+    rows = bridges.interval_rows(spark, sf)
+    groups = {g: c for g, c in models.ABLATION_GROUPS.items() if set(c) <= set(rows.columns)}
+    columns = [c for c in [*FEATURES, *RR_FEATURES] if c in rows.columns]
+    preparation = models.fit_preparation(rows, columns)
+    weight, n = models.balanced_weight(rows, "current_atrial_abnormality")
+    ready = materialise(rows.select(
+        F.array(*[preparation.scaled(c) for c in columns]).alias("x"), F.col("current_atrial_abnormality").cast("double").alias("y"), weight.alias("w")
+    ))
+    fitted = fit_groups(ready, {g: [columns.index(c) for c in wanted] for g, wanted in groups.items()}, 1.0 / n)
+    slopes = []
+    for g, wanted in groups.items():
+        at = {columns.index(c): float(b) for c, b in zip(wanted, fitted[g])}
+        z = sum((F.get("x", F.lit(i)) * b for i, b in at.items()), F.lit(float(fitted[g][-1])))
+        miss = F.col("w") * (1.0 / (1.0 + F.exp(-z)) - F.col("y"))
+        worst = F.greatest(F.abs(F.avg(miss)), *[F.abs(F.avg(miss * F.get("x", F.lit(i))) + b / n) for i, b in at.items()])
+        slopes.append(F.struct(F.lit(g).alias("feature_group"), F.lit(len(wanted)).alias("inputs"), (worst < 1e-9).alias("settled")))
+    return ready.agg(F.array(*slopes).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+
+
+@query("C9_feature_table_with_intervals")
+def feature_table_with_intervals(spark, sf):
+    records = synthetic.records(spark, sf, ["I", "II", "aVF", "V1"])
+    table_ = feature_job.build(_metadata(spark, sf), records, bridges.delineation(spark, sf), with_intervals=True)
+    return rounded(table_.select("ecg_id", "qrs_duration_ms", *RR_FEATURES))
 
 
 # --- whole records -----------------------------------------------------------------------------

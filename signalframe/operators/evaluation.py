@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from signalframe.operators.ordered import PART_ROWS, in_parts
-from signalframe.session import materialise
 
 OVERALL = "overall"
 # The inner edges of ten uniform bins as floating-point multiples of the step.
@@ -39,7 +38,7 @@ def score_cells(predictions: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
         .groupBy("dataset", "y_score")
         .agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
     )
-    return in_parts(materialise(cells), "dataset", ["y_score"], part_rows)
+    return in_parts(cells, "dataset", ["y_score"], part_rows)
 
 
 def _totals(predictions: DataFrame, threshold: float) -> DataFrame:

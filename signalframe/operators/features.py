@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from signalframe.functions.arrays import cut, let, lets, mean, present
 from signalframe.functions.beats import milliseconds
+from signalframe.functions.rhythm import add_interval_features, rr_intervals
 from signalframe.functions.values import clean, code_map, first_alias, has_code
-from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, REPORTED_FEATURES
+from signalframe.schemas import FEATURES, MORPHOLOGY_CODES, REPORTED_FEATURES, RR_FEATURES
 
 MIN_BEATS = 3
 
@@ -113,12 +114,27 @@ def labelled(metadata: DataFrame, codes: list[str] = MORPHOLOGY_CODES) -> DataFr
     )
 
 
-def feature_table(metadata: DataFrame, measured: DataFrame, codes: list[str] = MORPHOLOGY_CODES) -> DataFrame:
-    """Metadata rows joined with the measurements of their record; unmatched rows are dropped."""
+def interval_columns(detected: DataFrame) -> DataFrame:
+    """``record_id`` and the interval measures of records with their beats; NULL without two intervals."""
+    staged = detected.select("record_id", rr_intervals(F.col("peaks"), F.col("fs")).alias("_rr"))
+    return add_interval_features(staged, "_rr", "_i").select(
+        "record_id", *[F.when(F.col("_i.rr_count") > 1, F.col(f"_i.{c}")).alias(c) for c in RR_FEATURES]
+    )
+
+
+def feature_table(
+    metadata: DataFrame, measured: DataFrame, codes: list[str] = MORPHOLOGY_CODES, intervals: DataFrame | None = None
+) -> DataFrame:
+    """Metadata rows joined with the measurements of their record; unmatched rows are dropped.
+
+    ``intervals`` (:func:`interval_columns`) adds its measures, NULL for a record it does not hold.
+    """
+    if intervals is not None:
+        measured = measured.join(intervals.select("record_id", *RR_FEATURES), "record_id", "left")
     return (
         labelled(metadata, codes)
         .join(measured, metadata["filename_lr"] == measured["record_id"])
-        .select("ecg_id", *FEATURES, "current_atrial_abnormality")
+        .select("ecg_id", *FEATURES, *(RR_FEATURES if intervals is not None else []), "current_atrial_abnormality")
     )
 
 

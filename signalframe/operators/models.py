@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalframe.operators import calibration, evaluation, features as feature_ops
 from signalframe.operators.calibration import logit
+from signalframe.operators.group_fits import fit_groups, score_groups
 from signalframe.operators.selection import exact_quantiles, stratified_split
-from signalframe.schemas import FEATURES
+from signalframe.schemas import FEATURES, RR_FEATURES
 from signalframe.session import materialise
 
 # Training settings and artefact texts.
@@ -309,40 +310,44 @@ def external_validation(predictions: DataFrame, threshold: float = 0.5) -> DataF
 
 # --- ablation ----------------------------------------------------------------------------------
 
-# The feature groups of the ablation table that the model inputs cover.
+# The feature groups of the ablation table, and two more.
+_P_WAVE = ["p_duration_ms", "p_amplitude_mv", "p_axis_deg", "pr_interval_ms", "ptfv1_mv_ms"]
+_MORPHOLOGY = ["qrs_duration_ms", "qtc_ms"]
 ABLATION_GROUPS = {
-    "P-wave only": ["p_duration_ms", "p_amplitude_mv", "p_axis_deg", "pr_interval_ms", "ptfv1_mv_ms"],
-    "Morphology only": ["qrs_duration_ms", "qtc_ms"],
+    "RR only": RR_FEATURES,
+    "P-wave only": _P_WAVE,
+    "Morphology only": _MORPHOLOGY,
+    "RR + P wave": [*RR_FEATURES, *_P_WAVE],
+    "RR + P wave + morphology": [*RR_FEATURES, *_P_WAVE, *_MORPHOLOGY],
+    "P wave + morphology": [*_P_WAVE, *_MORPHOLOGY],
     "Demographics only": ["age", "sex"],
-    "P wave + morphology": [
-        "p_duration_ms", "p_amplitude_mv", "p_axis_deg", "pr_interval_ms", "ptfv1_mv_ms", "qrs_duration_ms", "qtc_ms",
-    ],
-    "All": list(FEATURES),
+    "All": [*FEATURES, *RR_FEATURES],
 }
 
 
-def ablation(table: DataFrame, key: str, label: str, groups: dict[str, list[str]] = ABLATION_GROUPS, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Held-out metrics of the logistic model on each group of inputs. One distributed fit per group."""
-    split = materialise(stratified_split(table.select(key, *FEATURES, label), key, label, test_share, seed))
+def ablation_scores(table: DataFrame, key: str, label: str, groups: dict[str, list[str]] = ABLATION_GROUPS, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """``dataset`` (the group), ``y_true``, ``y_score`` of the held-out rows by the logistic model of each group.
+
+    All groups are fitted in the same passes. A table without interval columns has the groups that need none,
+    and "All" is what it has.
+    """
+    columns = [c for c in [*FEATURES, *RR_FEATURES] if c in table.columns]
+    rows = table.filter(F.col(label).isNotNull())
+    split = materialise(stratified_split(rows.select(key, *columns, label), key, label, test_share, seed))
     fit_rows, held_out = split.filter(~F.col("is_test")), split.filter("is_test")
-    preparation = fit_preparation(fit_rows, list(FEATURES))
+    preparation = fit_preparation(fit_rows, columns)
     weight, n = balanced_weight(fit_rows, label)
-    result = None
-    for name, columns in groups.items():
-        assemble = VectorAssembler(inputCols=[f"{c}__scaled" for c in columns], outputCol="scaled_vector")
-
-        def ready(df: DataFrame) -> DataFrame:
-            scaled = df.select(
-                F.col(label).cast("double").alias("label__"),
-                weight.alias("weight__"),
-                *[preparation.scaled(c).alias(f"{c}__scaled") for c in columns],
-            )
-            return assemble.transform(scaled)
-
-        scored = _logistic(n).fit(ready(fit_rows)).transform(ready(held_out))
-        predictions = scored.select(
-            F.col("label__").cast("int").alias("y_true"), vector_to_array("logistic_vector")[1].alias("y_score")
+
+    def ready(df: DataFrame) -> DataFrame:
+        return df.select(
+            F.array(*[preparation.scaled(c) for c in columns]).alias("x"), F.col(label).cast("double").alias("y"), weight.cast("double").alias("w")
         )
-        report = evaluation.metrics_report(predictions).withColumn("dataset", F.lit(name))
-        result = report if result is None else result.unionByName(report)
-    return result.withColumnRenamed("dataset", "feature_group")
+
+    able = {g: [columns.index(c) for c in wanted if c in columns] for g, wanted in groups.items() if g == "All" or set(wanted) <= set(columns)}
+    return score_groups(ready(held_out), able, fit_groups(materialise(ready(fit_rows)), able, 1.0 / n))
+
+
+def ablation(table: DataFrame, key: str, label: str, groups: dict[str, list[str]] = ABLATION_GROUPS, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Held-out metrics of the logistic model on each group of inputs."""
+    report = evaluation.metrics_report(materialise(ablation_scores(table, key, label, groups, test_share, seed)))
+    return report.filter(F.col("dataset") != evaluation.OVERALL).withColumnRenamed("dataset", "feature_group")

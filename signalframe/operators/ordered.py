@@ -29,11 +29,12 @@ class Series:
 def in_parts(df: DataFrame, key: str, order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
     """The rows with ``part``: ranges of about ``part_rows`` rows, ascending with the order inside a series.
 
-    Stored, because the limits of the ranges come from a sample and every later pass must see the same.
+    The rows are computed once and stored: their count and the sample for the limits of the ranges are read
+    from there. The ranges are stored too, as every later pass must see the same limits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = max(cores, -(-df.count() // part_rows))
-    return materialise(df.repartitionByRange(parts, key, *order).withColumn("part", F.spark_partition_id()))
+    stored = materialise(df)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // part_rows))
+    return materialise(stored.repartitionByRange(parts, key, *order).withColumn("part", F.spark_partition_id()))
 
 
 def with_previous(df: DataFrame, key: str, order: list[str], value: str, depth: int, part_rows: int = PART_ROWS) -> Series:

@@ -14,6 +14,8 @@ FEATURES = [
     "age", "sex", "p_duration_ms", "p_amplitude_mv", "p_axis_deg",
     "pr_interval_ms", "qrs_duration_ms", "qtc_ms", "ptfv1_mv_ms",
 ]
+#: Interval measures that a feature table may hold beside the model inputs.
+RR_FEATURES = ["rr_mean_ms", "rr_cv", "rmssd_ms", "pnn50_percent", "sample_entropy", "shannon_entropy", "turning_point_ratio"]
 TARGET_NAMES = ["atrial_abnormality", "current_atrial_abnormality", "target", "label", "y"]
 REPORTED_FEATURES = ["p_duration_ms", "pr_interval_ms", "qrs_duration_ms", "qtc_ms", "ptfv1_mv_ms"]
 

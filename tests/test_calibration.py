@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.operators import calibration, models
+from signalframe.operators import calibration, group_fits, models
 
 
 def max_min(x, y):
@@ -61,3 +61,23 @@ def test_nothing_to_calibrate(spark):
     assert calibration.isotonic(empty).count() == 0 and calibration.platt_lines(empty).count() == 0
     assert calibration.platt_lines(calibration.with_overall(empty)).count() == 0
     assert calibration.with_overall(spark.createDataFrame([(1, 0.5, None)], "y_true int, y_score double, dataset string")).select(F.col("dataset")).collect()[0][0] == "overall"
+
+
+def test_groups_are_fitted_like_one_by_one(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 4))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x @ [1.0, -0.5, 0.0, 2.0] - 0.3))).astype(float)
+    w = np.where(y == 1, 1.3, 0.8)
+    rows = spark.createDataFrame([(v.tolist(), float(a), float(b)) for v, a, b in zip(x, y, w)], "x array<double>, y double, w double")
+    groups = {"one": [3], "some": [0, 2], "all": [0, 1, 2, 3], "none": []}
+    got = group_fits.fit_groups(rows.repartition(5), groups, 0.02)
+    for g, columns in groups.items():
+        own, b = np.concatenate((x[:, columns], np.ones((400, 1))), axis=1), np.zeros(len(columns) + 1)
+        ridge = np.append(np.full(len(columns), 0.02), 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-own @ b))
+            b += np.linalg.solve(own.T @ (own * (w * p * (1 - p))[:, None]) / w.sum() + np.diag(ridge), own.T @ (w * (y - p)) / w.sum() - ridge * b)
+        assert got[g] == pytest.approx(b, abs=1e-9)
+        scored = group_fits.score_groups(rows, {g: columns}, got)
+        assert scored.count() == 400
+        assert sorted(r.y_score for r in scored.collect()) == pytest.approx(sorted((1 / (1 + np.exp(-own @ b))).tolist()), abs=1e-9)
