@@ -26,6 +26,12 @@ FEATURE_SQL = {
     "ptfv1_mv_ms": "CASE WHEN k % 3 = 0 THEN NULL ELSE ((k * 47) % 80) / -1000.0E0 END",
 }
 
+# Cuts of the model inputs for the check of a histogram.
+CUTS = {
+    "age": (35.0, 50.0, 70.0), "sex": (0.0,), "p_duration_ms": (80.0, 110.0, 140.0), "p_amplitude_mv": (0.1, 0.2), "p_axis_deg": (-60.0, 0.0, 90.0),
+    "pr_interval_ms": (140.0, 200.0), "qrs_duration_ms": (80.0, 100.0, 120.0), "qtc_ms": (380.0, 430.0, 480.0), "ptfv1_mv_ms": (-0.05, -0.02),
+}
+
 # Aggregated measures for the rules, over the order key k, so that every branch is met.
 RULE_SQL = {
     "heart_rate": "CASE WHEN k % 29 = 0 THEN NULL ELSE 30.0E0 + (k * 7) % 320 END",

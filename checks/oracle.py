@@ -6,7 +6,7 @@ share the input arithmetic but not the way the result is reached.
 
 from __future__ import annotations
 
-from checks.bridges import FEATURE_SQL, LEVEL_SQL, RULE_SQL
+from checks.bridges import CUTS, FEATURE_SQL, LEVEL_SQL, RULE_SQL
 from signalframe.functions.rules import INFARCT_TERRITORIES, ISCHEMIA_TERRITORIES, STEMI_TERRITORIES
 from signalframe.operators.dimensions import DATASETS
 from signalframe.operators.evaluation import INNER_EDGES
@@ -801,3 +801,8 @@ ORACLE["C9_feature_table_with_intervals"] = f"""
 WITH {META}, rf AS ({BEAT_RR} SELECT * FROM f WHERE n > 1 AND CAST(record_id AS BIGINT) % 23 <> 8)
 SELECT ecg_id, qrs_duration_ms, {r6('mean_rr AS rr_mean_ms', 'cv AS rr_cv', 'rmssd AS rmssd_ms', 'pnn50 AS pnn50_percent', 'sampen AS sample_entropy', 'shannon AS shannon_entropy', 'tpr AS turning_point_ratio')}
 FROM ({ORACLE['J2_feature_table']}) JOIN (SELECT ecg_id, filename_lr FROM md) USING (ecg_id) LEFT JOIN rf ON rf.record_id = filename_lr"""
+CODED = ", ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE 1 + {' + '.join(f'({f} > {c})::INT' for c in cuts)} END AS {f}" for f, cuts in CUTS.items())
+ORACLE["M5_level_histogram"] = FEAT + f""", c AS (SELECT current_atrial_abnormality AS y, {CODED} FROM q),
+n AS (SELECT *, CASE WHEN qtc_ms BETWEEN 1 AND 2 THEN 2 ELSE 3 END AS node, 1 / (1 + exp(0.5)) AS p FROM c),
+u AS ({' UNION ALL '.join(f"SELECT node, '{f}' AS feature, {f} AS bin, y, p FROM n" for f in FEATURES)})
+SELECT CAST(node AS BIGINT) AS node, feature, CAST(bin AS BIGINT) AS bin, count(*) AS n, {r6('sum(y - p) AS g', 'sum(p * (1 - p)) AS h')} FROM u GROUP BY 1, 2, 3"""

@@ -13,7 +13,7 @@ from signalframe.functions import beats as B, leads as L, quality as Q, rhythm a
 from signalframe.functions.arrays import centre, let, median, moving_average, quantile_of_sorted, present
 from signalframe.functions.values import code_map, comment_age, comment_sex, has_code, sex_code
 from signalframe.operators import (
-    calibration as fits, dimensions, evaluation, features, intervals, long_records, measurement as M, models, preprocessing, selection,
+    boosting, calibration as fits, dimensions, evaluation, features, intervals, long_records, measurement as M, models, preprocessing, selection,
 )
 from signalframe.operators.group_fits import fit_groups
 from signalframe.plans import analyse, feature_job
@@ -1169,6 +1169,25 @@ def boosted_scores(spark, sf):
     return models.score(rows, _trained(spark, sf).model, "ecg_id").select("ecg_id", "boosting_probability")
 
 
+@query("M5_missing_scores")
+def missing_scores(spark, sf):
+    """Trees that take missing inputs as they are; fewer than the training job's, to keep the check short."""
+    rows = bridges.feature_rows(spark, sf)
+    model = boosting.fit(rows, "current_atrial_abnormality", FEATURES, trees=10)
+    return boosting.score(rows, model, "ecg_id")
+
+
+@query("M5_level_histogram")
+def level_histogram(spark, sf):
+    """The sums of the second level of a tree whose first split is given, with given cuts."""
+    model = boosting.Boosted(FEATURES, [list(c) for c in bridges.CUTS.values()], -0.5, 0.1)
+    rows = boosting.binned(bridges.feature_rows(spark, sf), "current_atrial_abnormality", model)
+    grown = boosting.Tree([-1, FEATURES.index("qtc_ms"), -1, -1], [0, 2, 0, 0], [True, False, True, True], [0.0] * 4)
+    found = boosting.level_histogram(rows, model, 0, grown, 1)
+    named = F.get(F.array(*map(F.lit, FEATURES)), F.col("feature").cast("int"))
+    return rounded(found.withColumn("feature", named))
+
+
 @query("M6_scores")
 def scores(spark, sf):
     rows = bridges.feature_rows(spark, sf).drop("k")
