@@ -130,7 +130,7 @@ def route(bits: np.ndarray, tree: tuple[np.ndarray, np.ndarray], radius: int) ->
     return row, node - len(points), home
 
 
-def near_pairs(own: np.ndarray, seen: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(own: np.ndarray, seen: np.ndarray, radius: int, step: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (of own, of seen) within the radius, in blocks; pruned by vantage points."""
     open_ = [(np.arange(len(own)), np.arange(len(seen)))]
     while open_:
@@ -151,8 +151,8 @@ def near_pairs(own: np.ndarray, seen: np.ndarray, radius: int) -> Iterator[tuple
                 continue
         for i in range(0, len(mine), BLOCK):
             part = mine[i: i + BLOCK]
-            for j in range(0, len(theirs), 8192):
-                other = theirs[j: j + 8192]
+            for j in range(0, len(theirs), step):
+                other = theirs[j: j + step]
                 a, b = np.nonzero(distance(own[part][:, None], seen[other][None, :]) <= radius)
                 yield part[a], other[b]
 
@@ -251,6 +251,9 @@ def near_duplicates(
 WIDTH, SIMILARITY = 5, 0.8
 NEAR = 14  # bits of 64 in which the fingerprints of copies of that similarity differ at most, nearly always
 BOTH = 26  # bits of 128, with a second fingerprint
+SURE = 12  # of these; texts so near are copies
+HELD = 1 << 18  # pairs of a shard that wait
+SLICE = 2 << 20  # bytes of text whose shingles are hashed at once
 
 _MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
 
@@ -264,9 +267,12 @@ def second(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def spanning(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Numbers of pairs (a, b) that join what all pairs join, the nearest first."""
-    root, chosen = np.arange(n), []
+def spanning(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of pairs that join what all pairs join, the nearest first; the smallest node that each reaches).
+
+    `root` carries what earlier pairs have joined.
+    """
+    root, chosen = np.arange(n) if root is None else root, []
     for d in np.unique(far):
         left = np.flatnonzero(far == d)
         while len(left):
@@ -274,26 +280,36 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarra
             _, first = np.unique(np.maximum(root[a[left]], root[b[left]]), return_index=True)
             # each of these hooks another root to a smaller one, so none closes a circle
             taken = left[first]
-            root = forest(n, a[taken], b[taken], root)
+            root = forest(n, a[taken], b[taken], root.copy())
             chosen.append(taken)
-    return np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64)
+    return np.concatenate(chosen) if chosen else np.empty(0, dtype=np.int64), root
 
 
 def shard_candidates(own: np.ndarray, visitors: np.ndarray, with_own: bool, near: int, both: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of fingerprints, columns bits and check) within both limits, as many as join what all of them join."""
+    """Pairs (of fingerprints, columns bits and check) within both limits, as many as join what all of them join.
+
+    Pairs within SURE bits join at once, so that of a large group of copies no more is looked at than joins it;
+    the others wait, HELD at most, until a nearest spanning forest is taken of them.
+    """
     every = np.concatenate((own, visitors))
-    seen = every if with_own else visitors
-    shift = 0 if with_own else len(own)
-    a, b, far = (np.empty(0, dtype=np.int64) for _ in range(3))
-    for i, j in near_pairs(own[:, 0], seen[:, 0], near):
+    seen, shift = (every, 0) if with_own else (visitors, len(own))
+    n, root, out = len(every), np.arange(len(every)), []
+    held = np.empty((3, 0), dtype=np.int64)
+    for i, j in near_pairs(own[:, 0], seen[:, 0], near, 1024):
+        apart = root[i] != root[j + shift]
+        i, j = i[apart], j[apart]
         d = (distance(own[i, 0], seen[j, 0]) + distance(own[i, 1], seen[j, 1])).astype(np.int64)
-        able = (d <= both) & (i != j + shift)
-        a, b, far = np.append(a, i[able]), np.append(b, j[able] + shift), np.append(far, d[able])
-        if len(a) > 1 << 20:
-            held = spanning(len(every), a, b, far)
-            a, b, far = a[held], b[held], far[held]
-    held = spanning(len(every), a, b, far)
-    return every[a[held], 0], every[b[held], 0]
+        found = np.stack((i, j + shift, d))
+        sure = found[:, d <= SURE]
+        if sure.size:
+            taken, root = spanning(n, *sure, root)
+            out.append(sure[:2, taken])
+        held = np.concatenate((held, found[:, (d > SURE) & (d <= both)]), axis=1)
+        if held.shape[1] > HELD:
+            held = held[:, spanning(n, *held, root)[0]]
+    held = held[:, spanning(n, *held, root)[0]]
+    a, b = np.concatenate([*out, held[:2]], axis=1)
+    return every[a, 0], every[b, 0]
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -309,7 +325,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
         yield {"doc_id": batch["doc_id"], "bits": majority(h, n).view(np.int64), "check": majority(second(h), n).view(np.int64)}
 
     base = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
-    made = materialise(rows(base, run, "doc_id long, bits long, check long"))
+    made = materialise(rows(base, run, "doc_id long, bits long, check long", SLICE))
     distinct = materialise(made.groupBy("bits").agg(F.min(F.struct("doc_id", "check")).alias("m")).select("bits", "m.check", F.col("m.doc_id").alias("first")))
 
     def compare(key, shard):
@@ -337,7 +353,7 @@ def confirmed(base: DataFrame, made: DataFrame, distinct: DataFrame, edges: Data
         cuts = np.cumsum(n)[:-1]
         yield {"bits": majority(h, n).view(np.int64), "shingles": [np.unique(x).view(np.int64) for x in np.split(h, cuts)]}
 
-    sets = materialise(rows(texts, run, "bits long, shingles array<long>").dropDuplicates(["bits"]))
+    sets = materialise(rows(texts, run, "bits long, shingles array<long>", SLICE).dropDuplicates(["bits"]))
     one, two = (sets.select(F.col("bits").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
     met = edges.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("_a", "_b")))
     return met.where(F.col("same") >= similarity * (F.size("_a") + F.size("_b") - F.col("same"))).select("a", "b")

@@ -119,7 +119,8 @@ def test_spanning_pairs_join_what_all_join():
     for _ in range(30):
         n = 40
         a, b, far = rng.integers(0, n, 120), rng.integers(0, n, 120), rng.integers(0, 6, 120)
-        chosen = simhash.spanning(n, a, b, far)
+        chosen, root = simhash.spanning(n, a, b, far)
+        assert (root == links.forest(n, a, b)).all()
         assert len(chosen) == n - len(np.unique(links.forest(n, a, b)))
         assert (links.forest(n, a[chosen], b[chosen]) == links.forest(n, a, b)).all()
         for limit in range(6):  # a nearest spanning forest spans each level too
@@ -127,6 +128,26 @@ def test_spanning_pairs_join_what_all_join():
             assert (links.forest(n, a[own], b[own]) == links.forest(n, a[low], b[low])).all()
 
 
+def test_a_large_group_of_near_copies_is_joined(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 500)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (3, 2), dtype=np.uint64)
+    flips = lambda k: np.array([[sum(1 << int(b) for b in rng.choice(63, k // 2, replace=False)) for _ in range(2)] for _ in range(700)], dtype=np.uint64)
+    every = np.concatenate([base[0] ^ flips(4), base[1] ^ flips(10), base[2:]])
+    every = every[np.unique(every[:, 0], return_index=True)[1]]  # first fingerprints differ
+    rng.shuffle(every)
+    far = np.bitwise_count(every[:, None, :] ^ every[None, :, :]).astype(int)
+    able = (far[:, :, 0] <= simhash.NEAR) & (far.sum(axis=2) <= simhash.BOTH)
+    at = {int(v): i for i, v in enumerate(every[:, 0])}
+    want = links.forest(len(every), *np.nonzero(able))
+    for cut in (len(every), 500):
+        pairs = [simhash.shard_candidates(every[:cut], every[cut:], True, simhash.NEAR, simhash.BOTH)]
+        if cut < len(every):
+            pairs.append(simhash.shard_candidates(every[cut:], every[:0], True, simhash.NEAR, simhash.BOTH))
+        a, b = (np.array([at[int(v)] for p in pairs for v in p[k]]) for k in (0, 1))
+        assert (links.forest(len(every), a, b) == want).all() and len(a) < 2 * len(every) and able[a, b].all()
+
+
 def test_near_duplicates_equal_brute_force(spark):
     every = texts()
     docs = spark.createDataFrame([(i * 3 + 1, t, "s") for i, t in enumerate(every)], "doc_id long, text string, fingerprint string")
