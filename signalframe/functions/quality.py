@@ -6,10 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
-from signalframe.functions.arrays import (
-    centre, clamp, diff, fill, let, lets, median, moving_average, present, quantile_of_sorted,
-    sorted_present, std,
-)
+from signalframe.functions.arrays import clamp, diff, fill, let, lets, present, quantile_of_sorted, sorted_present
 
 USABLE = 35.0  # a lead of at least this quality counts as usable
 
@@ -107,57 +104,84 @@ def lead_qualities(leads: Column) -> Column:
     return _qualities_udf(leads)
 
 
+def _wave(x: np.ndarray, width: int) -> dict:
+    """What the index reads from the samples of a lead, missing ones as NaN and filled with the median."""
+    lost = np.isnan(x)
+    n, there = len(x), len(x) - int(lost.sum())
+    a = np.where(lost, np.median(x[~lost]) if there else 0.0, x)
+    a = a - np.median(a) if n else a
+    ascending, drift = np.sort(a), None
+    if n >= width:
+        ahead = (width - 1) // 2
+        drift = float((np.convolve(a, np.ones(width))[ahead: ahead + n] / width).std())
+    amplitude = None
+    if n:
+        at = np.array([0.95, 0.05]) * (n - 1)
+        low = at.astype(int)
+        high = np.minimum(low + 1, n - 1)
+        upper, lower = ascending[low] + (ascending[high] - ascending[low]) * (at - low)
+        amplitude = float(upper - lower)
+    return {
+        "share": there / n if n else 0.0, "amplitude": amplitude, "noise": float(np.diff(a).std()) if n > 2 else 0.0, "drift": drift, "n": n or None,
+    }
+
+
+_WAVE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("share", "amplitude", "noise", "drift")] + [T.StructField("n", T.IntegerType())])
+
+
+def _waves(x, width):
+    out = []
+    for samples, w in zip(x, width):
+        values = samples.values
+        out.append(_wave(np.empty(0) if values is None else values.to_numpy(zero_copy_only=False).astype(float), w.as_py()))
+    kinds = [(f.name, pa.int32() if f.name == "n" else pa.float64()) for f in _WAVE]
+    return pa.StructArray.from_arrays([pa.array([r[c] for r in out], t) for c, t in kinds], names=[c for c, _ in kinds])
+
+
+_waves.__annotations__ = {"x": pa.Array, "width": pa.Array, "return": pa.Array}
+_waves_udf = F.arrow_udf(_waves, _WAVE)
+
+
 def signal_quality(x: Column, fs: Column, beats: Column, usable: Column, leads: Column) -> Column:
-    """The quality index of the working lead and its parts, rounded as reported.
+    """The quality index of the working lead and its parts, rounded as reported; the samples take one Arrow pass.
 
     An amplitude of 0 is replaced by 1 before the flat-line test, so an exactly flat lead is not
     penalised here; :func:`lead_quality` does penalise it.
     """
+    width = F.coalesce(F.greatest(fs, F.lit(1.0)).cast("int"), F.lit(1))
 
-    def run(raw: Column, rate: Column) -> Column:
-        filled = fill(raw, F.coalesce(median(raw), F.lit(0.0)))
+    def run(w: Column, rate: Column) -> Column:
+        amp = _or_one(w["amplitude"])
+        bpm = F.coalesce(F.try_divide(beats.cast("double"), F.try_divide(w["n"], rate)) * 60.0, F.lit(0.0))
         return lets(
-            [finite_ratio(raw), centre(filled)],
-            lambda share, a: lets(
-                [
-                    _or_one(let(F.sort_array(a), _amplitude)),
-                    _noise(a),
-                    std(moving_average(a, F.greatest(rate, F.lit(1.0)).cast("int"))),
-                    F.coalesce(F.try_divide(beats.cast("double"), F.try_divide(F.size(a), rate)) * 60.0, F.lit(0.0)),
-                ],
-                lambda amp, noise, drift, rate_bpm: lets(
-                    [
-                        F.when(amp < 1e-6, 100.0).otherwise(0.0),
-                        F.least(F.lit(100.0), noise / amp * 100.0),
-                        F.least(F.lit(100.0), drift / amp * 100.0),
-                        F.when((rate_bpm >= 35.0) & (rate_bpm <= 220.0), 100.0).otherwise(
-                            clamp(rate_bpm / 35.0 * 100.0, 0.0, 100.0)
-                        ),
-                    ],
-                    lambda flat, noise_ratio, wander, success: F.struct(
-                        F.bround(
-                            clamp(
-                                95.0
-                                - (1.0 - share) * 80.0
-                                - noise_ratio * 1.45
-                                - wander * 1.05
-                                - flat
-                                + usable / F.greatest(F.lit(1), leads) * 8.0
-                                + success * 0.08,
-                                0.0,
-                                100.0,
-                            ),
-                            1,
-                        ).alias("signal_quality_index"),
-                        F.bround((1.0 - share) * 100.0, 1).alias("missing_data_percent"),
-                        F.bround(flat, 1).alias("flatline_score"),
-                        F.bround(noise_ratio, 1).alias("noise_score"),
-                        F.bround(wander, 1).alias("baseline_wander_score"),
-                        F.bround(success, 1).alias("qrs_detection_success"),
-                        usable.cast("int").alias("usable_leads"),
+            [
+                F.when(amp < 1e-6, 100.0).otherwise(0.0),
+                F.least(F.lit(100.0), w["noise"] / amp * 100.0),
+                F.least(F.lit(100.0), w["drift"] / amp * 100.0),
+                F.when((bpm >= 35.0) & (bpm <= 220.0), 100.0).otherwise(clamp(bpm / 35.0 * 100.0, 0.0, 100.0)),
+            ],
+            lambda flat, noise_ratio, wander, success: F.struct(
+                F.bround(
+                    clamp(
+                        95.0
+                        - (1.0 - w["share"]) * 80.0
+                        - noise_ratio * 1.45
+                        - wander * 1.05
+                        - flat
+                        + usable / F.greatest(F.lit(1), leads) * 8.0
+                        + success * 0.08,
+                        0.0,
+                        100.0,
                     ),
-                ),
+                    1,
+                ).alias("signal_quality_index"),
+                F.bround((1.0 - w["share"]) * 100.0, 1).alias("missing_data_percent"),
+                F.bround(flat, 1).alias("flatline_score"),
+                F.bround(noise_ratio, 1).alias("noise_score"),
+                F.bround(wander, 1).alias("baseline_wander_score"),
+                F.bround(success, 1).alias("qrs_detection_success"),
+                usable.cast("int").alias("usable_leads"),
             ),
         )
 
-    return lets([x, fs], run)
+    return lets([_waves_udf(x, width), fs], run)

@@ -228,13 +228,11 @@ def ptfv1(detected: DataFrame) -> DataFrame:
 
 def signal_quality(detected: DataFrame) -> DataFrame:
     """The quality index of the working lead, with the usable share of all leads."""
-    counted = detected.withColumn("_usable", _usable_count(detected))
-    return counted.select(
-        "record_id",
-        Q.signal_quality(
-            F.col("x"), F.col("fs"), F.size("peaks"), F.col("_usable"), F.size("lead_names")
-        ).alias("q"),
-    ).select("record_id", "q.*")
+    counted = settle(detected.select(
+        "record_id", "x", "fs", F.size("peaks").alias("_beats"), _usable_count(detected).alias("_usable"), F.size("lead_names").alias("_leads")
+    ))
+    found = Q.signal_quality(F.col("x"), F.col("fs"), F.col("_beats"), F.col("_usable"), F.col("_leads"))
+    return counted.select("record_id", found.alias("q")).select("record_id", "q.*")
 
 
 def fibrillatory_power(detected: DataFrame) -> DataFrame:
