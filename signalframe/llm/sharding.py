@@ -12,6 +12,7 @@ each node with its own seed, so the halves agree wherever they are drawn.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from signalframe.llm.common import column, materialise
 
 BUCKET_ROWS = 1 << 20  # a shard is cut into buckets of this size, each permuted in one task
-EXACT = 1_000_000_000  # rows up to which numpy draws from the hypergeometric law itself
+EXACT = 1_000_000_000  # rows up to which numpy draws from the hypergeometric law; more are drawn here
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -64,12 +65,58 @@ def _split(colors: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _marginal(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
-    """How many of n are good; above EXACT from the normal law of the same mean and variance."""
+    """How many of n are good."""
     if good + bad < EXACT:
         return int(rng.hypergeometric(good, bad, n)) if n else 0
-    total, share = good + bad, good / (good + bad)
-    drawn = round(rng.normal(n * share, (n * share * (1 - share) * (total - n) / max(total - 1, 1)) ** 0.5))
-    return min(max(drawn, n - bad, 0), n, good)
+    return hypergeometric(good, bad, n, rng)
+
+
+URN = 64  # draws that are made one by one
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """A draw from the hypergeometric law at any size.
+
+    Few draws are made from an urn; else ratio of uniforms with Stadlober's hat, which accepts a place by the law's
+    logarithm there less that at its mode, so that large factorials never have to be subtracted.
+    """
+    if good > bad:
+        return n - hypergeometric(bad, good, n, rng)
+    if 2 * n > good + bad:
+        return good - hypergeometric(good, bad, good + bad - n, rng)
+    if n > good:  # which are good and which are drawn may change places
+        return hypergeometric(n, good + bad - n, good, rng)
+    total = good + bad
+    if n <= URN:
+        found = 0
+        for k in range(n):
+            found += int(rng.integers(total - k)) < good - found
+        return found
+    share = good / total
+    centre = n * share + 0.5
+    width = math.sqrt((total - n) * n * share * (1 - share) / (total - 1) + 0.5)
+    hat = 2 * math.sqrt(2 / math.e) * width + 3 - 2 * math.sqrt(3 / math.e)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    last = min(n, good, int(centre + 16 * width))
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        place = centre + hat * (v - 0.5) / u
+        if not 0 <= place < last + 1:
+            continue
+        k = int(place)
+        log = _log_ratio(mode, k) + _log_ratio(good - mode, good - k) + _log_ratio(n - mode, n - k) + _log_ratio(bad - n + mode, bad - n + k)
+        if 2 * math.log(u) <= log:
+            return k
+
+
+def _log_ratio(a: int, b: int) -> float:
+    """ln(a! / b!), to the accuracy of the result however large both are."""
+    if a == b:
+        return 0.0
+    if min(a, b) < 100:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    rest = lambda x: 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5)
+    return (a + 0.5) * math.log1p((a - b) / b) + (a - b) * (math.log(b) - 1) + rest(a) - rest(b)
 
 
 def shuffle(rows: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -1,5 +1,6 @@
 """URL filter and sharding against plain Python."""
 
+import math
 import random
 from collections import Counter
 
@@ -131,3 +132,34 @@ def test_a_row_is_equally_likely_in_every_shard(spark):
     for seed in range(12):
         where.update((r["shard"]) for r in sharding.shuffle(rows, 4, seed=seed).where("id < 10").collect())
     assert all(10 <= where[s] <= 52 for s in range(4))
+
+
+@pytest.mark.parametrize("good, bad, n", [
+    (40, 60, 30), (500, 700, 400), (3, 5000, 2000), (5000, 3, 4990), (900, 100, 70), (100, 3000, 80), (2000, 2000, 3900), (300, 200, 100), (7, 9, 16),
+])
+def test_draws_follow_the_law(good, bad, n):
+    rng, draws = np.random.default_rng(4), 20_000
+    got = np.bincount([sharding.hypergeometric(good, bad, n, rng) for _ in range(draws)], minlength=n + 1)
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    low, high = max(0, n - bad), min(n, good)
+    want = np.zeros(len(got))
+    want[low:high + 1] = [math.exp(log(good, k) + log(bad, n - k) - log(good + bad, n)) * draws for k in range(low, high + 1)]
+    assert want.sum() == pytest.approx(draws) and not got[want == 0].any()
+    large = want >= 8
+    spread = (got[large] - want[large]) ** 2 / want[large]
+    assert spread.sum() < large.sum() + 5 * (2 * large.sum()) ** 0.5 + 3
+    assert abs(got[~large].sum() - want[~large].sum()) < 5 * max(want[~large].sum(), 1) ** 0.5 + 3
+
+
+def test_draws_of_billions():
+    rng = np.random.default_rng(3)
+    good, bad, n = 3 * 10 ** 11, 5 * 10 ** 12, 10 ** 12
+    total, share = good + bad, good / (good + bad)
+    draws = np.array([sharding.hypergeometric(good, bad, n, rng) for _ in range(4000)], dtype=float)
+    spread = (n * share * (1 - share) * (total - n) / (total - 1)) ** 0.5
+    assert abs(draws.mean() - n * share) < 5 * spread / 4000 ** 0.5 and abs(draws.std() / spread - 1) < 0.06
+    few = [sharding.hypergeometric(10 ** 12, 10 ** 12, 3, rng) for _ in range(4000)]
+    assert np.bincount(few, minlength=4) == pytest.approx([500, 1500, 1500, 500], abs=150)
+    rare = [sharding.hypergeometric(10 ** 6, 10 ** 12, 10 ** 6, rng) for _ in range(4000)]  # one is expected
+    assert np.mean(rare) == pytest.approx(1, abs=0.1) and np.var(rare) == pytest.approx(1, abs=0.15)
+    assert sharding._log_ratio(10 ** 12 + 5, 10 ** 12) == pytest.approx(sum(math.log(10 ** 12 + k) for k in range(1, 6)), rel=1e-14)
