@@ -1054,7 +1054,7 @@ def _written(spark, sf, files: DataFrame | None = None) -> str:
     return folder
 
 
-def _below(folder: str, path: Column) -> Column:
+def _below(path: Column) -> Column:
     """A path without the folder."""
     return F.regexp_extract(path, r"(records/[^/]*)$", 1)
 
@@ -1063,14 +1063,14 @@ def _below(folder: str, path: Column) -> Column:
 def pairs_of_files(spark, sf):
     folder = _written(spark, sf)
     pairs = record_source.complete(record_source.read_records(spark, folder, signals=False))
-    return pairs.select("record_id", *[_below(folder, F.col(c)).alias(c) for c in ("header_path", "signal_path")])
+    return pairs.select("record_id", *[_below(F.col(c)).alias(c) for c in ("header_path", "signal_path")])
 
 
 @query("J1_unpaired_of_files")
 def unpaired_of_files(spark, sf):
     folder = _written(spark, sf)
     return record_source.unpaired(record_source.read_records(spark, folder, signals=False)).select(
-        _below(folder, F.col("path")).alias("path"), "error"
+        _below(F.col("path")).alias("path"), "error"
     )
 
 
@@ -1105,7 +1105,7 @@ def _with_broken(files: DataFrame) -> DataFrame:
 def dead_letters_of_files(spark, sf):
     folder = _written(spark, sf, _with_broken(_files(spark, sf)))
     _, errors = wfdb.split_readable(record_source.complete(record_source.read_records(spark, folder, signals=False)))
-    return errors.select(_below(folder, F.col("stem")).alias("stem"), "error")
+    return errors.select(_below(F.col("stem")).alias("stem"), "error")
 
 
 # --- models (no SQL counterpart) ---------------------------------------------------------------
