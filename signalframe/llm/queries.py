@@ -138,6 +138,7 @@ _FITS = " OR ".join(
 )
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _TERMS = f"unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
 
 ORACLE: dict[str, str] = {
@@ -162,6 +163,32 @@ ORACLE: dict[str, str] = {
         SELECT page_id, host, path, won.rule AS rule,
                coalesce(won.verdict, CASE WHEN in_list THEN 'block' ELSE 'allow' END) AS verdict, canonical, in_list FROM w
     """,
+    "op5_embedding_dedup": """
+        WITH RECURSIVE e AS (
+          SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS size FROM e),
+        l AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+          WHERE list_inner_product(a.v, b.v) >= 0.95 * a.size * b.size),
+        r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT node, l.b FROM r JOIN l ON l.a = r.reached),
+        c AS (SELECT node AS vec_id, min(reached) AS component_id FROM r GROUP BY node)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+    """,
+    "op6_decontamination": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        t AS (SELECT item_id, {_WORDS} AS w, least(10, len({_WORDS})) AS n FROM benchmark),
+        i AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM t WHERE n > 0)),
+        s AS (SELECT DISTINCT n FROM i),
+        p AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n)),
+        h AS (SELECT doc_id, item_id, n, k FROM p JOIN i USING (n, words)),
+        hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS k FROM h) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM h GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op11_hard_negatives": """
         WITH e AS (
           SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
