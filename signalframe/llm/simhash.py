@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from signalframe.llm.common import BROADCAST_IDS, column, materialise, rows, spaced_words, without
 from signalframe.llm.links import components, forest
@@ -312,20 +312,35 @@ def shard_candidates(own: np.ndarray, visitors: np.ndarray, with_own: bool, near
     return every[a, 0], every[b, 0]
 
 
+def shingle_sets(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The different shingles of each text, ascending."""
+    return [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+
+
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A signed 64-bit number for each set of shingles."""
+    return np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], dtype=np.uint64).view(np.int64)
+
+
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, bits, group) for every row: texts of one group are joined by links.
 
-    Linked are texts whose sets of shingles of `width` words have a Jaccard similarity of `similarity` or more,
-    found where their fingerprints differ in at most NEAR bits, and BOTH bits with a second fingerprint of the same
-    shingles. Of the pairs found in a shard the nearest that join them are confirmed by the shingles themselves.
+    Linked are texts whose sets of shingles of `width` words have a Jaccard similarity of `similarity` or more.
+    Most are found where their fingerprints differ in at most NEAR bits, and BOTH bits with a second fingerprint of the
+    same shingles; of the pairs found in a shard the nearest that join them are confirmed by the shingles themselves.
+    The links that this misses between the groups so found come from :func:`missed`, so that none is lost.
     Texts with equal fingerprints count as copies, null and blank ones too.
     """
     def run(batch):
         h, n = shingle_hashes(batch["text"], width, 42)
-        yield {"doc_id": batch["doc_id"], "bits": majority(h, n).view(np.int64), "check": majority(second(h), n).view(np.int64)}
+        sets = shingle_sets(h, n)
+        yield {
+            "doc_id": batch["doc_id"], "bits": majority(h, n).view(np.int64), "check": majority(second(h), n).view(np.int64),
+            "key": set_keys(sets), "size": [len(s) for s in sets], "head": [s[: head_size(len(s), similarity)].view(np.int64) for s in sets],
+        }
 
     base = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
-    made = materialise(rows(base, run, "doc_id long, bits long, check long", SLICE))
+    made = materialise(rows(base, run, "doc_id long, bits long, check long, key long, size int, head array<long>", SLICE))
     distinct = materialise(made.groupBy("bits").agg(F.min(F.struct("doc_id", "check")).alias("m")).select("bits", "m.check", F.col("m.doc_id").alias("first")))
 
     def compare(key, shard):
@@ -336,27 +351,187 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
 
     found = _by_shard(distinct.select("bits", "check"), NEAR, compare)
     edges = materialise(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    groups = components(confirmed(base, made, distinct, edges, width, similarity))
-    joined = made.select("doc_id", "bits").join(groups.withColumnRenamed("node", "bits"), "bits", "left")
+    # equal sets of shingles may have several fingerprints, as repeats count there
+    twins = made.select("key", "bits").distinct()
+    least = twins.groupBy("key").agg(F.min("bits").alias("a"), F.count("*").alias("n")).where("n > 1")
+    equal = twins.join(least, "key").where("a <> bits").select("a", F.col("bits").alias("b"))
+    known = materialise(confirmed(base, distinct, edges, width, similarity).unionByName(equal))
+    groups = components(known).withColumnRenamed("node", "bits")
+    texts = made.where("size > 0").drop("check").dropDuplicates(["key"]).join(groups, "bits", "left")
+    texts = texts.select("doc_id", "key", "size", "head", F.coalesce("component", "bits").alias("group"))
+    more = missed(base, materialise(texts), width, similarity)
+    if not more.isEmpty():
+        groups = components(known.unionByName(more)).withColumnRenamed("node", "bits")
+    joined = made.select("doc_id", "bits").join(groups, "bits", "left")
     return joined.select("doc_id", "bits", F.coalesce("component", "bits").alias("group"))
 
 
-def confirmed(base: DataFrame, made: DataFrame, distinct: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges whose texts have that Jaccard similarity; a fingerprint's text is one that has the smallest id."""
-    ends = edges.select(F.col("a").alias("bits")).union(edges.select(F.col("b"))).distinct()
-    wanted = materialise(distinct.join(ends, "bits").select(F.col("first").alias("_id")).distinct())
+def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `base` with one of these ids (column `doc_id`); a null id is one too."""
+    wanted = materialise(ids.select(F.col("doc_id").alias("_id")).distinct())
     some = wanted.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(wanted) if some else wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return base.join(F.broadcast(wanted) if some else wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
 
+def _sets_of(base: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(bits, key, shingles) of the texts with these ids."""
     def run(batch):
         h, n = shingle_hashes(batch["text"], width, 42)
-        cuts = np.cumsum(n)[:-1]
-        yield {"bits": majority(h, n).view(np.int64), "shingles": [np.unique(x).view(np.int64) for x in np.split(h, cuts)]}
+        sets = shingle_sets(h, n)
+        yield {"bits": majority(h, n).view(np.int64), "key": set_keys(sets), "shingles": [s.view(np.int64) for s in sets]}
+
+    return rows(_texts_of(base, ids), run, "bits long, key long, shingles array<long>", SLICE)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, by: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity; `by` is the column of `sets` that a and b name."""
+    one, two = (sets.select(F.col(by).alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+    met = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("_a", "_b")))
+    return met.where(F.col("same") >= similarity * (F.size("_a") + F.size("_b") - F.col("same"))).select(*pairs.columns)
+
+
+def confirmed(base: DataFrame, distinct: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges whose texts have that Jaccard similarity; a fingerprint's text is one that has the smallest id."""
+    ends = edges.select(F.col("a").alias("bits")).union(edges.select(F.col("b"))).distinct()
+    ids = distinct.join(ends, "bits").select(F.col("first").alias("doc_id"))
+    sets = materialise(_sets_of(base, ids, width).dropDuplicates(["bits"]))
+    return _alike(edges, sets, "bits", similarity)
 
-    sets = materialise(rows(texts, run, "bits long, shingles array<long>", SLICE).dropDuplicates(["bits"]))
-    one, two = (sets.select(F.col("bits").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
-    met = edges.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("_a", "_b")))
-    return met.where(F.col("same") >= similarity * (F.size("_a") + F.size("_b") - F.col("same"))).select("a", "b")
+
+# --- the links that fingerprints miss: texts that are alike share one of their rarest shingles ---
+
+COMMON = 64  # texts with a shingle in their heads, beyond which it goes to the end of the order
+LISTED = 1 << 20  # shingles at the end of the order, 16 MB to each task
+ROUNDS = 1  # of looking for common shingles; what remains common is compared all the same
+CELL = 1 << 21  # shingles of texts that one call compares, 16 MB; texts that hang together by more meet by shuffles
+PAIRS = 1 << 18  # pairs beyond which those that share most are confirmed first
+BEST = 4  # of these for two groups
+
+
+def head_size(n: int, similarity: float) -> int:
+    """How many of n shingles, the first in an order that all texts share, hold one of any set so similar."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def head(own: np.ndarray, listed: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of an ascending set in the order: those not listed, then the listed (ascending) by place."""
+    at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+    last = listed[at] == own
+    ordered = np.concatenate((own[~last], own[last][np.argsort(place[at[last]])]))
+    return ordered[: head_size(len(own), similarity)]
+
+
+def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): groups that a link of two of their texts joins, exactly. `texts` has a row for each set of shingles.
+
+    Two sets so similar share a shingle of their heads (:func:`head_size`) in any order that both follow. The order is
+    that of the hashes, but shingles common to more than COMMON heads of several groups come last, so that few texts
+    meet. Texts that hang together by shared shingles of heads are a cell, which is compared in one place; of a cell of
+    more than CELL shingles the pairs meet by shuffles.
+    """
+    spark, listed = base.sparkSession, []
+    for k in range(ROUNDS + 1):
+        heads = texts.select("group", F.explode("head").alias("shingle"))
+        shared = heads.groupBy("shingle").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+        shared = materialise(shared.where("low < high").select("shingle", "n"))
+        common = shared.where(F.col("n") > COMMON)
+        room = LISTED - len(listed)
+        # bounded by LISTED
+        top = common.orderBy(F.desc("n"), "shingle").limit(LISTED).collect() if k < ROUNDS and room else []
+        before = set(listed)
+        new = [r["shingle"] for r in top if r["shingle"] not in before][:room]
+        if not new:
+            break
+        listed = listed + new[::-1]
+        texts = _headed(spark, base, texts, common, listed, width, similarity)
+    met = texts.select("key", "size", "group", F.explode("head").alias("shingle")).join(shared.select("shingle"), "shingle", "left_semi")
+    met = materialise(met)
+    hub = met.groupBy("shingle").agg(F.min("key").alias("b"))
+    cells = components(met.join(hub, "shingle").where("key <> b").select(F.col("key").alias("a"), "b").distinct())
+    cells = cells.select(F.col("node").alias("key"), F.col("component").alias("cell"))
+    sizes = texts.select("key", "size").join(cells, "key").groupBy("cell").agg(F.sum("size").alias("total"))
+    cells = materialise(texts.select("key", "doc_id", "group").join(cells, "key").join(sizes, "cell"))
+    small, large = cells.where(F.col("total") <= CELL), cells.where(F.col("total") > CELL)
+    found = _in_cells(base, small, width, similarity)
+    if large.isEmpty():
+        return found
+    return found.unionByName(_by_shuffles(base, texts, met.join(large.select("key"), "key", "left_semi"), width, similarity))
+
+
+def _in_cells(base: DataFrame, cells: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the groups that have texts of that similarity in a cell."""
+    def compare(cell):
+        group, sets = cell["group"].to_numpy(), cell["shingles"].tolist()
+        size = np.array([len(x) for x in sets])
+        _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        holders = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]  # of each shingle, one after the other
+        first, at, out = np.cumsum(n) - n, np.cumsum(size) - size, []
+        for i in range(len(sets) - 1):
+            own = code[at[i]: at[i] + size[i]]
+            own = own[n[own] > 1]
+            runs = n[own]
+            same = np.bincount(holders[np.repeat(first[own] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())], minlength=len(sets))
+            alike = (same >= similarity * (size[i] + size - same)) & (group != group[i])
+            out += [(group[i], g) for g in np.unique(group[i + 1:][alike[i + 1:]])]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    some = cells.count() <= BROADCAST_IDS
+    own = cells.select("key", "cell", "group")
+    sets = _sets_of(base, cells, width).select("key", "shingles").join(F.broadcast(own) if some else own, "key")
+    return materialise(sets.select("cell", "group", "shingles").groupBy("cell").applyInPandas(compare, "a long, b long").distinct())
+
+
+def _by_shuffles(base: DataFrame, texts: DataFrame, met: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the groups that have texts of that similarity, by the shingles (`met`) that their heads share.
+
+    Groups meet first, by shingle, then their texts. Pairs that share too few shingles of their heads to leave the
+    similarity within reach are dropped before their texts are read.
+    """
+    here = met.select("shingle", "group").distinct()
+    both = here.withColumnRenamed("group", "ga").join(here.withColumnRenamed("group", "gb"), "shingle").where("ga < gb")
+    for c in "ab":
+        side = met.select("shingle", F.col("group").alias(f"g{c}"), F.col("key").alias(c), F.col("size").alias(f"n{c}"))
+        both = both.join(side, ["shingle", f"g{c}"])
+    # beyond the head that ends first no more can be shared than what the text has left there
+    rest = F.greatest(*[F.ceil(F.col(f"n{c}") * similarity - 1e-9) - 1 for c in "ab"])
+    needed = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
+    pairs = both.groupBy("a", "b", "ga", "gb", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") + rest >= needed)
+    pairs = materialise(pairs.select("a", "b", "ga", "gb", "n"))
+    first = None
+    if pairs.count() > PAIRS:
+        nth = F.row_number().over(Window.partitionBy("ga", "gb").orderBy(F.desc("n"), "a", "b"))
+        first = _joined(base, texts, pairs.withColumn("nth", nth).where(F.col("nth") <= BEST), width, similarity)
+        joined = components(first)
+        for c in "ab":
+            pairs = pairs.join(joined.select(F.col("node").alias(f"g{c}"), F.col("component").alias(f"c{c}")), f"g{c}", "left")
+        pairs = materialise(pairs.where(F.coalesce("ca", "ga") != F.coalesce("cb", "gb")).select("a", "b", "ga", "gb"))
+    rest_of = _joined(base, texts, pairs, width, similarity)
+    return rest_of if first is None else first.unionByName(rest_of)
+
+
+def _headed(spark, base: DataFrame, texts: DataFrame, common: DataFrame, listed: list[int], width: int, similarity: float) -> DataFrame:
+    """The texts, those with common shingles in their heads with heads by the order that ends in the listed shingles."""
+    last = np.array(listed, dtype=np.int64).view(np.uint64)
+    order = spark.sparkContext.broadcast((np.sort(last), np.argsort(last)))
+
+    def run(batch):
+        sets = shingle_sets(*shingle_hashes(batch["text"], width, 42))
+        yield {"key": set_keys(sets), "head": [head(s, *order.value, similarity).view(np.int64) for s in sets]}
+
+    has = texts.select("key", "doc_id", F.explode("head").alias("shingle")).join(common, "shingle", "left_semi")
+    has = materialise(has.select("key", "doc_id").distinct())
+    again = rows(_texts_of(base, has), run, "key long, head array<long>", SLICE).dropDuplicates(["key"])
+    own = texts.drop("head").join(has.select("key"), "key", "left_semi").join(again, "key")
+    return materialise(texts.join(has.select("key"), "key", "left_anti").unionByName(own))
+
+
+def _joined(base: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the groups (ga, gb) of the pairs of texts (a, b) that have that similarity."""
+    ends = materialise(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    ids = texts.select("key", "doc_id").join(ends, "key", "left_semi")
+    sets = _sets_of(base, ids, width).join(ends, "key", "left_semi").dropDuplicates(["key"])
+    found = _alike(pairs.select("a", "b", "ga", "gb"), materialise(sets), "key", similarity)
+    return materialise(found.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct())
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:

@@ -114,6 +114,46 @@ def test_near_copies_are_found_and_no_others(spark):
     assert len(goes - kept) >= 0.9 * len(goes)
 
 
+@pytest.mark.parametrize(("common", "cell"), [(64, 1 << 21), (2, 0)])
+def test_no_link_at_the_threshold_is_lost(spark, monkeypatch, common, cell):
+    """Pairs about the threshold, whatever their fingerprints; a passage that many texts share; repeats of one set."""
+    for name, value in (("COMMON", common), ("CELL", cell), ("PAIRS", 0)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = random.Random(7)
+    words = [f"v{i}" for i in range(5000)]
+    passage, out = rng.choices(words, k=40), []
+    for k in range(110):
+        body = rng.choices(words, k=rng.randint(12, 90)) + passage * (k % 2)
+        out.append(" ".join(body))
+        for _ in range(2):  # a run of changed words takes 4 shingles more than it has words
+            n = max(1, round((len(body) - 4) * rng.uniform(0.07, 0.13)) - 4)
+            at = rng.randrange(len(body) - n)
+            out.append(" ".join([*body[:at], *rng.choices(words, k=n), *body[at + n:]]))
+    out += ["p q r s t " * 4, "p q r s t " * 40]
+    rng.shuffle(out)
+    texts = dict(enumerate(out))
+    want = plain_near_groups(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect()) == sorted(set(want.values()))
+
+
+def test_heads_of_similar_sets_meet():
+    rng = np.random.default_rng(3)
+    listed = np.sort(rng.choice(400, 60, replace=False).astype(np.uint64))
+    place, met = rng.permutation(60), 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.93], rng.integers(0, 400, rng.integers(0, 4)).astype(np.uint64))))
+        same = len(np.intersect1d(a, b))
+        if not len(b) or same < 0.8 * (len(a) + len(b) - same):
+            continue
+        met += 1
+        heads = [simhash.head(x, listed, place, 0.8) for x in (a, b)]
+        n = len(np.intersect1d(*heads))
+        assert n and n + max(len(x) - len(h) for x, h in zip((a, b), heads)) >= same
+    assert met > 500
+
+
 def test_spanning_pairs_join_what_all_join():
     rng = np.random.default_rng(1)
     for _ in range(30):
