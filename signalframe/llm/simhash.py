@@ -426,8 +426,8 @@ def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) ->
 
     Two sets so similar share a shingle of their heads (:func:`head_size`) in any order that both follow. The order is
     that of the hashes, but shingles common to more than COMMON heads of several groups come last, so that few texts
-    meet. Texts that hang together by shared shingles of heads are a cell, which is compared in one place; of a cell of
-    more than CELL shingles the pairs meet by shuffles.
+    meet. Pairs that share enough of their heads to leave the similarity within reach make cells; a cell's texts are read
+    once and compared in one place, those of a cell of more than CELL shingles pair by pair, by shuffles.
     """
     spark, listed = base.sparkSession, []
     for k in range(ROUNDS + 1):
@@ -445,17 +445,16 @@ def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) ->
         listed = listed + new[::-1]
         texts = _headed(spark, base, texts, common, listed, width, similarity)
     met = texts.select("key", "size", "group", F.explode("head").alias("shingle")).join(shared.select("shingle"), "shingle", "left_semi")
-    met = materialise(met)
-    hub = met.groupBy("shingle").agg(F.min("key").alias("b"))
-    cells = components(met.join(hub, "shingle").where("key <> b").select(F.col("key").alias("a"), "b").distinct())
-    cells = cells.select(F.col("node").alias("key"), F.col("component").alias("cell"))
+    pairs = _within_reach(materialise(met), similarity)
+    cells = components(pairs).select(F.col("node").alias("key"), F.col("component").alias("cell"))
     sizes = texts.select("key", "size").join(cells, "key").groupBy("cell").agg(F.sum("size").alias("total"))
     cells = materialise(texts.select("key", "doc_id", "group").join(cells, "key").join(sizes, "cell"))
     small, large = cells.where(F.col("total") <= CELL), cells.where(F.col("total") > CELL)
     found = _in_cells(base, small, width, similarity)
     if large.isEmpty():
         return found
-    return found.unionByName(_by_shuffles(base, texts, met.join(large.select("key"), "key", "left_semi"), width, similarity))
+    pairs = pairs.join(large.select(F.col("key").alias("a")), "a", "left_semi")
+    return found.unionByName(_by_shuffles(base, texts, pairs, width, similarity))
 
 
 def _in_cells(base: DataFrame, cells: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -481,11 +480,10 @@ def _in_cells(base: DataFrame, cells: DataFrame, width: int, similarity: float)
     return materialise(sets.select("cell", "group", "shingles").groupBy("cell").applyInPandas(compare, "a long, b long").distinct())
 
 
-def _by_shuffles(base: DataFrame, texts: DataFrame, met: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): the groups that have texts of that similarity, by the shingles (`met`) that their heads share.
+def _within_reach(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ga, gb, n): texts of different groups with n common shingles in their heads, enough for that similarity.
 
-    Groups meet first, by shingle, then their texts. Pairs that share too few shingles of their heads to leave the
-    similarity within reach are dropped before their texts are read.
+    Groups meet first, by shingle (`met` has a row for each of a head), then their texts.
     """
     here = met.select("shingle", "group").distinct()
     both = here.withColumnRenamed("group", "ga").join(here.withColumnRenamed("group", "gb"), "shingle").where("ga < gb")
@@ -496,7 +494,11 @@ def _by_shuffles(base: DataFrame, texts: DataFrame, met: DataFrame, width: int,
     rest = F.greatest(*[F.ceil(F.col(f"n{c}") * similarity - 1e-9) - 1 for c in "ab"])
     needed = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
     pairs = both.groupBy("a", "b", "ga", "gb", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") + rest >= needed)
-    pairs = materialise(pairs.select("a", "b", "ga", "gb", "n"))
+    return materialise(pairs.select("a", "b", "ga", "gb", "n"))
+
+
+def _by_shuffles(base: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): the groups that have texts of that similarity among these pairs."""
     first = None
     if pairs.count() > PAIRS:
         nth = F.row_number().over(Window.partitionBy("ga", "gb").orderBy(F.desc("n"), "a", "b"))
