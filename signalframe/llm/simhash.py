@@ -426,8 +426,8 @@ def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) ->
 
     Two sets so similar share a shingle of their heads (:func:`head_size`) in any order that both follow. The order is
     that of the hashes, but shingles common to more than COMMON heads of several groups come last, so that few texts
-    meet. Pairs that share enough of their heads to leave the similarity within reach make cells; a cell's texts are read
-    once and compared in one place, those of a cell of more than CELL shingles pair by pair, by shuffles.
+    meet. Pairs that share enough of their heads to leave the similarity within reach make cells; a cell's texts are
+    compared in one place, those of a cell of more than CELL shingles pair by pair, by shuffles.
     """
     spark, listed = base.sparkSession, []
     for k in range(ROUNDS + 1):
@@ -446,14 +446,17 @@ def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) ->
         texts = _headed(spark, base, texts, common, listed, width, similarity)
     met = texts.select("key", "size", "group", F.explode("head").alias("shingle")).join(shared.select("shingle"), "shingle", "left_semi")
     pairs = _within_reach(materialise(met), similarity)
-    cells = components(pairs).select(F.col("node").alias("key"), F.col("component").alias("cell"))
-    sizes = texts.select("key", "size").join(cells, "key").groupBy("cell").agg(F.sum("size").alias("total"))
-    cells = materialise(texts.select("key", "doc_id", "group").join(cells, "key").join(sizes, "cell"))
+    # a pair's cell is the smallest text that its first one is near to, so that most of a family have one cell
+    ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    hub = ends.groupBy("key").agg(F.min("other").alias("other")).select(F.col("key").alias("a"), F.least("key", "other").alias("cell"))
+    pairs = materialise(pairs.join(hub, "a"))
+    held = pairs.select("cell", F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id", "group", "size"), "key")
+    cells = materialise(held.join(held.groupBy("cell").agg(F.sum("size").alias("total")), "cell"))
     small, large = cells.where(F.col("total") <= CELL), cells.where(F.col("total") > CELL)
     found = _in_cells(base, small, width, similarity)
     if large.isEmpty():
         return found
-    pairs = pairs.join(large.select(F.col("key").alias("a")), "a", "left_semi")
+    pairs = pairs.join(large.select("cell").distinct(), "cell", "left_semi").drop("cell")
     return found.unionByName(_by_shuffles(base, texts, pairs, width, similarity))
 
 
