@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from signalframe.llm.common import BROADCAST_IDS, column, materialise, rows, spaced_words, without
 from signalframe.llm.links import components, forest
@@ -337,10 +337,11 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
         yield {
             "doc_id": batch["doc_id"], "bits": majority(h, n).view(np.int64), "check": majority(second(h), n).view(np.int64),
             "key": set_keys(sets), "size": [len(s) for s in sets], "head": [s[: head_size(len(s), similarity)].view(np.int64) for s in sets],
+            "fold": [fold(s) for s in sets],
         }
 
     base = docs.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
-    made = materialise(rows(base, run, "doc_id long, bits long, check long, key long, size int, head array<long>", SLICE))
+    made = materialise(rows(base, run, "doc_id long, bits long, check long, key long, size int, head array<long>, fold binary", SLICE))
     distinct = materialise(made.groupBy("bits").agg(F.min(F.struct("doc_id", "check")).alias("m")).select("bits", "m.check", F.col("m.doc_id").alias("first")))
 
     def compare(key, shard):
@@ -359,7 +360,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width:
     groups = components(known).withColumnRenamed("node", "bits")
     texts = made.where("size > 0").drop("check").dropDuplicates(["key"]).join(groups, "bits", "left")
     texts = texts.select("doc_id", "key", "size", "head", F.coalesce("component", "bits").alias("group"))
-    more = missed(base, materialise(texts), width, similarity)
+    more = missed(base, materialise(texts), made.select("key", "fold"), width, similarity)
     if not more.isEmpty():
         groups = components(known.unionByName(more)).withColumnRenamed("node", "bits")
     joined = made.select("doc_id", "bits").join(groups, "bits", "left")
@@ -403,9 +404,22 @@ def confirmed(base: DataFrame, distinct: DataFrame, edges: DataFrame, width: int
 COMMON = 64  # texts with a shingle in their heads, beyond which it goes to the end of the order
 LISTED = 1 << 20  # shingles at the end of the order, 16 MB to each task
 ROUNDS = 1  # of looking for common shingles; what remains common is compared all the same
-CELL = 1 << 21  # shingles of texts that one call compares, 16 MB; texts that hang together by more meet by shuffles
-PAIRS = 1 << 18  # pairs beyond which those that share most are confirmed first
-BEST = 4  # of these for two groups
+FOLDED = 1 << 22  # shingles of a block of texts, 8 MB folded; two blocks meet in a task
+MET = 1 << 20  # pairs of two blocks that one task compares; more are split over several
+TRIES = 3  # rounds of confirming the nearest pair of each group, before all that are left
+
+
+def fold(own: np.ndarray) -> bytes:
+    """The shingles of an ascending set by 16 bits of each, ascending: two bytes a shingle."""
+    return np.sort((own & np.uint64(0xFFFF)).astype("<u2")).tobytes()
+
+
+def places(folded: bytes) -> np.ndarray:
+    """A different number for each shingle of a folded set; equal 16 bits are told apart by their count so far."""
+    low = np.frombuffer(folded, "<u2").astype(np.int32)
+    first = np.concatenate(([True], low[1:] != low[:-1]))[: len(low)]
+    nth = np.arange(len(low), dtype=np.int32)
+    return low + ((nth - np.maximum.accumulate(np.where(first, nth, 0))) << 16)
 
 
 def head_size(n: int, similarity: float) -> int:
@@ -421,15 +435,17 @@ def head(own: np.ndarray, listed: np.ndarray, place: np.ndarray, similarity: flo
     return ordered[: head_size(len(own), similarity)]
 
 
-def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): groups that a link of two of their texts joins, exactly. `texts` has a row for each set of shingles.
+def missed(base: DataFrame, texts: DataFrame, folds: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): groups that a link of two of their texts joins, exactly. `texts` has a row for each set of shingles,
+    `folds` one or more.
 
     Two sets so similar share a shingle of their heads (:func:`head_size`) in any order that both follow. The order is
     that of the hashes, but shingles common to more than COMMON heads of several groups come last, so that few texts
-    meet. Pairs that share enough of their heads to leave the similarity within reach make cells; a cell's texts are
-    compared in one place, those of a cell of more than CELL shingles pair by pair, by shuffles.
+    meet. Pairs that share enough of their heads to leave the similarity within reach are compared by their folded
+    sets, which share at least as many; what these leave is confirmed by the sets themselves.
     """
     spark, listed = base.sparkSession, []
+    least = texts.select("key", "size", F.get("head", F.lit(0)).alias("least"))
     for k in range(ROUNDS + 1):
         heads = texts.select("group", F.explode("head").alias("shingle"))
         shared = heads.groupBy("shingle").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
@@ -446,41 +462,53 @@ def missed(base: DataFrame, texts: DataFrame, width: int, similarity: float) ->
         texts = _headed(spark, base, texts, common, listed, width, similarity)
     met = texts.select("key", "size", "group", F.explode("head").alias("shingle")).join(shared.select("shingle"), "shingle", "left_semi")
     pairs = _within_reach(materialise(met), similarity)
-    # a pair's cell is the smallest text that its first one is near to, so that most of a family have one cell
-    ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    hub = ends.groupBy("key").agg(F.min("other").alias("other")).select(F.col("key").alias("a"), F.least("key", "other").alias("cell"))
-    pairs = materialise(pairs.join(hub, "a"))
-    held = pairs.select("cell", F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "doc_id", "group", "size"), "key")
-    cells = materialise(held.join(held.groupBy("cell").agg(F.sum("size").alias("total")), "cell"))
-    small, large = cells.where(F.col("total") <= CELL), cells.where(F.col("total") > CELL)
-    found = _in_cells(base, small, width, similarity)
-    if large.isEmpty():
-        return found
-    pairs = pairs.join(large.select("cell").distinct(), "cell", "left_semi").drop("cell")
-    return found.unionByName(_by_shuffles(base, texts, pairs, width, similarity))
-
-
-def _in_cells(base: DataFrame, cells: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): the groups that have texts of that similarity in a cell."""
-    def compare(cell):
-        group, sets = cell["group"].to_numpy(), cell["shingles"].tolist()
+    pairs = pairs if pairs.isEmpty() else _within_folds(least, folds, pairs, similarity)
+    if pairs.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    return _by_rounds(base, texts, pairs, width, similarity)
+
+
+def _within_folds(least: DataFrame, folds: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ga, gb, near): the pairs whose folded sets leave that similarity within reach, and how similar these are.
+
+    Each text lies in one block, with most of those like it (by its least shingle), of about FOLDED shingles. A text
+    is sent to a pair of blocks if it has a pair there.
+    """
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    own = materialise(least.join(ends, "key", "left_semi"))
+    room = float(max(1, FOLDED))
+    count = max(1, int(np.ceil((own.agg(F.sum("size")).first()[0] or 0) / room)))
+    own = own.withColumn("home", F.pmod(F.xxhash64("least"), F.lit(count)))
+    parts = own.groupBy("home").agg(F.ceil(F.sum("size") / room).alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    blocks = materialise(own.join(parts, "home").select("key", (F.col("home") * (1 << 31) + part).alias("block")))
+    for c in "ab":
+        pairs = pairs.join(blocks.select(F.col("key").alias(c), F.col("block").alias(f"_{c}")), c)
+    pairs = materialise(pairs.select("a", "b", "ga", "gb", F.least("_a", "_b").alias("u"), F.greatest("_a", "_b").alias("v")))
+    slices = pairs.groupBy("u", "v").agg(F.ceil(F.count("*") / float(MET)).alias("slices"))
+    pairs = pairs.join(slices, ["u", "v"]).withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices"))).drop("slices")
+    held = pairs.select("u", "v", "slice", F.explode(F.array("a", "b")).alias("key")).distinct()
+    folds = folds.join(blocks.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    held = held.join(folds, "key").select(*[F.col(c).alias(f"_{c}") for c in ("u", "v", "slice")], "key", "fold")
+
+    def compare(met, texts):
+        sets = [places(x) for x in texts["fold"]]
         size = np.array([len(x) for x in sets])
-        _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        holders = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]  # of each shingle, one after the other
-        first, at, out = np.cumsum(n) - n, np.cumsum(size) - size, []
-        for i in range(len(sets) - 1):
-            own = code[at[i]: at[i] + size[i]]
-            own = own[n[own] > 1]
-            runs = n[own]
-            same = np.bincount(holders[np.repeat(first[own] - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())], minlength=len(sets))
-            alike = (same >= similarity * (size[i] + size - same)) & (group != group[i])
-            out += [(group[i], g) for g in np.unique(group[i + 1:][alike[i + 1:]])]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    some = cells.count() <= BROADCAST_IDS
-    own = cells.select("key", "cell", "group")
-    sets = _sets_of(base, cells, width).select("key", "shingles").join(F.broadcast(own) if some else own, "key")
-    return materialise(sets.select("cell", "group", "shingles").groupBy("cell").applyInPandas(compare, "a long, b long").distinct())
+        at = pd.Series(np.arange(len(sets)), index=texts["key"])
+        met = met.sort_values("a", ignore_index=True)
+        i, j = at[met["a"]].to_numpy(), at[met["b"]].to_numpy()
+        same, has = np.zeros(len(met), dtype=np.int64), np.zeros(max(x.max() for x in sets) + 1, dtype=bool)
+        cuts = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            has[sets[i[low]]] = True
+            for k in range(low, high):
+                same[k] = np.count_nonzero(has[sets[j[k]]])
+            has[sets[i[low]]] = False
+        met["near"] = same / (size[i] + size[j] - same)
+        return met.loc[same >= similarity * (size[i] + size[j] - same) - 1e-6, ["a", "b", "ga", "gb", "near"]]
+
+    near = pairs.groupBy("u", "v", "slice").cogroup(held.groupBy("_u", "_v", "_slice"))
+    return materialise(near.applyInPandas(compare, "a long, b long, ga long, gb long, near double"))
 
 
 def _within_reach(met: DataFrame, similarity: float) -> DataFrame:
@@ -497,21 +525,33 @@ def _within_reach(met: DataFrame, similarity: float) -> DataFrame:
     rest = F.greatest(*[F.ceil(F.col(f"n{c}") * similarity - 1e-9) - 1 for c in "ab"])
     needed = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
     pairs = both.groupBy("a", "b", "ga", "gb", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") + rest >= needed)
-    return materialise(pairs.select("a", "b", "ga", "gb", "n"))
+    return materialise(pairs.select("a", "b", "ga", "gb"))
+
 
+def _by_rounds(base: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): groups that pairs of that similarity join, as many as join what all these pairs join.
 
-def _by_shuffles(base: DataFrame, texts: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): the groups that have texts of that similarity among these pairs."""
-    first = None
-    if pairs.count() > PAIRS:
-        nth = F.row_number().over(Window.partitionBy("ga", "gb").orderBy(F.desc("n"), "a", "b"))
-        first = _joined(base, texts, pairs.withColumn("nth", nth).where(F.col("nth") <= BEST), width, similarity)
-        joined = components(first)
+    A round confirms the nearest pair of each group; pairs of groups that are joined by then need no look.
+    """
+    found = None
+    for k in range(TRIES + 1):
+        tried = pairs
+        if k < TRIES:
+            nearest = pairs.groupBy("gb").agg(F.max(F.struct("near", "a", "b", "ga")).alias("m"))
+            tried = materialise(nearest.select("m.a", "m.b", "m.ga", "gb"))
+        some = _joined(base, texts, tried, width, similarity)
+        found = some if found is None else found.unionByName(some)
+        if k == TRIES:
+            break
+        joined = components(found)
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         for c in "ab":
             pairs = pairs.join(joined.select(F.col("node").alias(f"g{c}"), F.col("component").alias(f"c{c}")), f"g{c}", "left")
-        pairs = materialise(pairs.where(F.coalesce("ca", "ga") != F.coalesce("cb", "gb")).select("a", "b", "ga", "gb"))
-    rest_of = _joined(base, texts, pairs, width, similarity)
-    return rest_of if first is None else first.unionByName(rest_of)
+        pairs = pairs.where(F.coalesce("ca", "ga") != F.coalesce("cb", "gb"))
+        pairs = materialise(pairs.select("a", "b", "ga", "gb", "near"))
+        if pairs.isEmpty():
+            break
+    return found
 
 
 def _headed(spark, base: DataFrame, texts: DataFrame, common: DataFrame, listed: list[int], width: int, similarity: float) -> DataFrame:

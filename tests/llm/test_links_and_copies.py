@@ -154,6 +154,35 @@ def test_heads_of_similar_sets_meet():
     assert met > 500
 
 
+@pytest.mark.parametrize(("cell", "met"), [(1 << 22, 1 << 20), (3000, 50)])
+def test_pairs_are_compared_by_their_folded_sets(spark, monkeypatch, cell, met):
+    """Few of the pairs that share enough of their heads need their whole sets; no pair of the similarity goes."""
+    monkeypatch.setattr(simhash, "FOLDED", cell)
+    monkeypatch.setattr(simhash, "MET", met)
+    rng, sets = np.random.default_rng(4), []
+    for _ in range(25):
+        body = rng.integers(0, 1 << 62, rng.integers(20, 200)).astype(np.uint64)
+        for share in (1, 0.95, 0.88, 0.6):
+            kept = body[rng.random(len(body)) < share]
+            sets.append(np.unique(np.concatenate((kept, rng.integers(0, 1 << 62, len(body) - len(kept)).astype(np.uint64)))))
+    same = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    pairs = [(i, j) for i in range(100) for j in range(100) if i < j and (i // 4 == j // 4 or (i * j) % 7 == 0)]
+    want = {p for p in pairs if same(*p) >= 0.8}
+    least = spark.createDataFrame([(i, len(x), int(x[0])) for i, x in enumerate(sets)], "key long, size int, least long")
+    folds = spark.createDataFrame([(i, simhash.fold(x)) for i, x in enumerate(sets)] * 2, "key long, fold binary")
+    frame = spark.createDataFrame([(i, j, i, j) for i, j in pairs], "a long, b long, ga long, gb long")
+    got = [(r["a"], r["b"]) for r in simhash._within_folds(least, folds, frame, 0.8).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and 20 < len(want) and len(got) <= 1.2 * len(want)
+
+
+def test_a_folded_set_shares_no_less_than_the_set():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 50, 3000, 200_000):
+        a, b = (np.unique(rng.integers(0, 1 << 18, n).astype(np.uint64) << np.uint64(9)) for _ in range(2))
+        one, two = simhash.places(simhash.fold(a)), simhash.places(simhash.fold(b))
+        assert len(np.unique(one)) == len(a) and len(np.intersect1d(one, two)) >= len(np.intersect1d(a, b))
+
+
 def test_spanning_pairs_join_what_all_join():
     rng = np.random.default_rng(1)
     for _ in range(30):
