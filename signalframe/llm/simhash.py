@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from signalframe.llm.common import BROADCAST_IDS, column, materialise, rows, spaced_words, without
 from signalframe.llm.links import components, forest
@@ -406,6 +406,7 @@ LISTED = 1 << 20  # shingles at the end of the order, 16 MB to each task
 ROUNDS = 1  # of looking for common shingles; what remains common is compared all the same
 FOLDED = 1 << 22  # shingles of a block of texts, 8 MB folded; two blocks meet in a task
 MET = 1 << 20  # pairs of two blocks that one task compares; more are split over several
+CHUNK = 256  # texts of a group with one shingle that are listed together
 TRIES = 3  # rounds of confirming the nearest pair of each group, before all that are left
 
 
@@ -460,8 +461,8 @@ def missed(base: DataFrame, texts: DataFrame, folds: DataFrame, width: int, simi
             break
         listed = listed + new[::-1]
         texts = _headed(spark, base, texts, common, listed, width, similarity)
-    met = texts.select("key", "size", "group", F.explode("head").alias("shingle")).join(shared.select("shingle"), "shingle", "left_semi")
-    pairs = _within_reach(materialise(met), similarity)
+    met = texts.select("key", "size", "group", F.posexplode("head").alias("pos", "shingle")).join(shared.select("shingle"), "shingle", "left_semi")
+    pairs = _within_reach(materialise(met), texts.select("key", "group"), similarity)
     pairs = pairs if pairs.isEmpty() else _within_folds(least, folds, pairs, similarity)
     if pairs.isEmpty():
         return spark.createDataFrame([], "a long, b long")
@@ -511,20 +512,27 @@ def _within_folds(least: DataFrame, folds: DataFrame, pairs: DataFrame, similari
     return materialise(near.applyInPandas(compare, "a long, b long, ga long, gb long, near double"))
 
 
-def _within_reach(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, ga, gb, n): texts of different groups with n common shingles in their heads, enough for that similarity.
+def _within_reach(met: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ga, gb): texts of different groups whose common shingles in their heads leave that similarity within reach.
 
-    Groups meet first, by shingle (`met` has a row for each of a head), then their texts.
+    `met` has a row for each shingle of a head, `pos` its place there; `groups` has the group of each key. Groups meet by
+    shingle, each with its texts in lists of CHUNK, so that texts of one group do not meet and rows of pairs move once.
     """
-    here = met.select("shingle", "group").distinct()
-    both = here.withColumnRenamed("group", "ga").join(here.withColumnRenamed("group", "gb"), "shingle").where("ga < gb")
+    place = F.row_number().over(Window.partitionBy("shingle", "group").orderBy("key"))
+    here = met.withColumn("chunk", F.floor((place - 1) / CHUNK)).groupBy("shingle", "group", "chunk")
+    here = here.agg(F.collect_list(F.struct("key", "size", "pos")).alias("texts"))
+    one, two = (here.select("shingle", F.col("group").alias(f"g{c}"), F.col("texts").alias(f"t{c}")) for c in "ab")
+    both = one.join(two, "shingle").where("ga < gb").select(F.explode("ta").alias("a"), "tb").select("a", F.explode("tb").alias("b"))
+    after = F.least(*[F.col(f"{c}.size") - F.col(f"{c}.pos") for c in "ab"])
+    needed = (F.col("a.size") + F.col("b.size")) * (similarity / (1 + similarity)) - 1e-6
+    # at most those before this shingle in the order that both follow are shared, and those from it on
+    both = both.where(F.least("a.pos", "b.pos") + after >= needed)
+    # beyond the last common one, or the head that ends first, no more can be shared than what the text has left there
+    rest = F.greatest(*[F.ceil(F.col(f"{c}.size") * similarity - 1e-9) - 1 for c in "ab"])
+    both = both.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), (F.least(after - 1, rest) - needed).alias("over"))
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("over").alias("over")).where("n + over >= 0").select("a", "b")
     for c in "ab":
-        side = met.select("shingle", F.col("group").alias(f"g{c}"), F.col("key").alias(c), F.col("size").alias(f"n{c}"))
-        both = both.join(side, ["shingle", f"g{c}"])
-    # beyond the head that ends first no more can be shared than what the text has left there
-    rest = F.greatest(*[F.ceil(F.col(f"n{c}") * similarity - 1e-9) - 1 for c in "ab"])
-    needed = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6
-    pairs = both.groupBy("a", "b", "ga", "gb", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") + rest >= needed)
+        pairs = pairs.join(groups.select(F.col("key").alias(c), F.col("group").alias(f"g{c}")), c)
     return materialise(pairs.select("a", "b", "ga", "gb"))
 
 

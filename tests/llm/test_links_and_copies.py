@@ -154,6 +154,28 @@ def test_heads_of_similar_sets_meet():
     assert met > 500
 
 
+@pytest.mark.parametrize("chunk", [256, 2])
+def test_few_pairs_beside_those_alike_are_within_reach(spark, monkeypatch, chunk):
+    """A passage that texts of any size share brings few pairs together; no pair of the similarity goes."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk, raising=False)
+    rng, sets, group = np.random.default_rng(5), [], []
+    for k in range(40):
+        body = rng.integers(1 << 40, 1 << 62, rng.integers(20, 300)).astype(np.uint64)
+        for n, share in enumerate((1, 0.97, 0.93, 0.85, 0.6)):
+            kept = body[rng.random(len(body)) < share]
+            own = rng.integers(1 << 40, 1 << 62, len(body) - len(kept)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate((kept, own, np.arange(8 * (k % 2), dtype=np.uint64)))))
+            group.append(5 * k if k % 3 == 0 and n < 3 else 5 * k + n)
+    every = [(i, j) for i in range(200) for j in range(200) if group[i] < group[j]]
+    same = {(i, j): len(np.intersect1d(sets[i], sets[j], True)) / len(np.union1d(sets[i], sets[j])) for i, j in every}
+    want = {(i, j, group[i], group[j]) for i, j in every if same[i, j] >= 0.8}
+    met = [(i, len(x), group[i], n, int(h)) for i, x in enumerate(sets) for n, h in enumerate(x[: simhash.head_size(len(x), 0.8)])]
+    frame = spark.createDataFrame(met, "key long, size int, group long, pos int, shingle long")
+    groups = spark.createDataFrame(list(enumerate(group)), "key long, group long")
+    got = [tuple(r) for r in simhash._within_reach(frame, groups, 0.8).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 50 and len(got) <= len(every) // 20
+
+
 @pytest.mark.parametrize(("cell", "met"), [(1 << 22, 1 << 20), (3000, 50)])
 def test_pairs_are_compared_by_their_folded_sets(spark, monkeypatch, cell, met):
     """Few of the pairs that share enough of their heads need their whole sets; no pair of the similarity goes."""
