@@ -137,3 +137,41 @@ def test_arriving_files_are_scored_once(spark, records, tmp_path):
     found = {r.record_id: (r.selected_lead, r.peaks) for r in spark.read.parquet(out).collect()}
     assert spark.read.parquet(out).count() == 11
     assert found == {r.record_id: (r.selected_lead, r.peaks) for r in work(records.where("k <= 12 and k <> 3")).collect()}
+
+
+def test_pairing_sends_no_signals_to_the_driver(spark):
+    """The planner knows the length of no file, so that a small estimate may stand for any amount of bytes."""
+    files = spark.createDataFrame([(f"d/{i}.{x}", bytearray(b"1")) for i in range(3) for x in ("hea", "dat")], "path string, content binary")
+    pairs = wfdb.find_pairs(files)
+    assert "SortMergeJoin" in plan(pairs) and "BroadcastExchange" not in plan(pairs)
+    assert pairs.count() == 3
+
+
+def test_lengths_stand_for_signals_that_stay(spark):
+    """Dead letters and metadata are the same without the signals, and the join moves lengths only."""
+    rows = []
+    for i, length in enumerate((8, 7, 12)):
+        rows.append((f"d/{i}.hea", bytearray(f"{i} 2 100 2\n{i}.dat 16 200 16 0 0 0 0 I\n{i}.dat 16 200 16 0 0 0 0 II\n".encode())))
+        rows.append((f"d/{i}.dat", bytearray(length)))
+    files = spark.createDataFrame(rows, "path string, content binary")
+    found = []
+    for signals in (True, False):
+        readable, errors = wfdb.split_readable(wfdb.find_pairs(files, signals=signals))
+        found.append((sorted(map(tuple, errors.collect())), sorted(map(str, wfdb.record_metadata(readable).collect()))))
+    assert found[0] == found[1]
+    assert [e for _, e in found[1][0]] == ["signal file has a partial frame", "length differs from header"]
+    bodies = plan(wfdb.find_pairs(files, signals=False).select("signal_bytes", "stem"))
+    assert "signal_bytes" in bodies and "content#" not in "".join(l for l in bodies.splitlines() if "Sort [" in l or "SortMergeJoin" in l)
+
+
+def test_registered_dead_letters_and_metadata_move_no_signals(spark, tmp_path):
+    customers = spark.range(1, 12).selectExpr("id AS c_custkey", "'X' AS c_mktsegment", "0 AS c_nationkey")
+    customers.write.parquet(str(tmp_path / "customer.parquet"))
+    from checks.queries import QUERIES
+
+    for name in ("P9_dead_letters", "S3_record_metadata"):
+        found = QUERIES[name](spark, str(tmp_path))
+        joins = [l for l in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in l]
+        assert len(joins) == 1 and "BroadcastExchange" not in plan(found)
+        assert "signal_bytes" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert QUERIES["P9_dead_letters"](spark, str(tmp_path)).count() == 1  # record 11, whose signals are cut short
