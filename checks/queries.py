@@ -995,6 +995,13 @@ def _files(spark, sf) -> DataFrame:
     return files.filter(~lost)
 
 
+def _with_broken(files: DataFrame) -> DataFrame:
+    """Some signal files are cut short."""
+    key = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
+    cut = F.col("path").endswith(".dat") & (key % 11 == 0)
+    return files.withColumn("content", F.when(cut, F.substring(F.col("content"), 1, 1001)).otherwise(F.col("content")))
+
+
 @query("S1_record_pairs")
 def record_pairs(spark, sf):
     return wfdb.find_pairs(_files(spark, sf)).select("record_id", "header_path", "signal_path")
@@ -1031,12 +1038,7 @@ def demographics(spark, sf):
 
 @query("P9_dead_letters")
 def dead_letters(spark, sf):
-    pairs = wfdb.find_pairs(_files(spark, sf))
-    key = F.col("record_id").cast("long")
-    broken = pairs.withColumn(
-        "signal", F.when(key % 11 == 0, F.substring(F.col("signal"), 1, 1001)).otherwise(F.col("signal"))
-    )
-    _, errors = wfdb.split_readable(broken)
+    _, errors = wfdb.split_readable(wfdb.find_pairs(_with_broken(_files(spark, sf)), signals=False))
     return errors
 
 
@@ -1094,13 +1096,6 @@ def metadata_of_files(spark, sf):
     ))
 
 
-def _with_broken(files: DataFrame) -> DataFrame:
-    """Some signal files are cut short."""
-    key = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
-    cut = F.col("path").endswith(".dat") & (key % 11 == 0)
-    return files.withColumn("content", F.when(cut, F.substring(F.col("content"), 1, 1001)).otherwise(F.col("content")))
-
-
 @query("P9_dead_letters_of_files")
 def dead_letters_of_files(spark, sf):
     folder = _written(spark, sf, _with_broken(_files(spark, sf)))
