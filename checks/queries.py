@@ -1025,7 +1025,7 @@ def decoded_leads(spark, sf):
 
 @query("S3_record_metadata")
 def record_metadata(spark, sf):
-    readable, _ = wfdb.split_readable(wfdb.find_pairs(_files(spark, sf)))
+    readable, _ = wfdb.split_readable(wfdb.find_pairs(_files(spark, sf), signals=False))
     meta = wfdb.record_metadata(readable)
     return rounded(meta.select("record_id", "sampling_frequency", "number_of_leads", F.array_join("lead_names", ",").alias("lead_names"), "duration_seconds"))
 
