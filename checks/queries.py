@@ -1338,8 +1338,10 @@ def arrivals(spark, sf):
     customers = spark.read.parquet(f"{sf}/customer.parquet").schema
     out, checkpoint = _fresh(spark, "arrivals"), _fresh(spark, "arrivals-checkpoint")
 
+    spread = 3 * spark.sparkContext.defaultParallelism  # a stream tells no partitions of its own
+
     def score_batch(stream: DataFrame) -> DataFrame:
-        return M.qrs_duration(M.detect_beats(synthetic.waveforms(stream, spread=0)))
+        return M.qrs_duration(M.detect_beats(synthetic.waveforms(stream, spread=spread)))
 
     stream = arriving(spark, f"{sf}/customer.parquet*", customers)
     append_results(stream, score_batch, out, checkpoint).awaitTermination()

@@ -175,3 +175,12 @@ def test_registered_dead_letters_and_metadata_move_no_signals(spark, tmp_path):
         assert len(joins) == 1 and "BroadcastExchange" not in plan(found)
         assert "signal_bytes" in found._jdf.queryExecution().optimizedPlan().toString()
     assert QUERIES["P9_dead_letters"](spark, str(tmp_path)).count() == 1  # record 11, whose signals are cut short
+
+
+def test_arriving_rows_of_one_file_are_spread_over_tasks(spark, tmp_path):
+    customers = spark.range(1, 41).selectExpr("id AS c_custkey", "'X' AS c_mktsegment", "0 AS c_nationkey")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    from checks.queries import QUERIES
+
+    found = QUERIES["T1_arrivals"](spark, str(tmp_path))
+    assert found.count() == 40 and len(found.inputFiles()) > 1
